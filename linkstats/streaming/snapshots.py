@@ -1,0 +1,96 @@
+"""Keyed snapshots kept by micro-batches: latest state, and spans of states.
+
+A snapshot lives in a few numbered slots. Batch n reads the slot of batch n - 1
+and overwrites its own, so a batch that is run again after a failure finds its
+input unchanged and writes the same result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from linkstats.functions.times import MICROS, micros
+from linkstats.operators.slices import SLICE_SECONDS, with_neighbour
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    path: str
+    schema: T.StructType
+    slots: int = 3
+
+    def _slot(self, batch_id: int) -> str:
+        return f"{self.path}/slot={batch_id % self.slots}"
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], self.schema)
+        stored = spark.read.schema(T.StructType(
+            self.schema.fields + [T.StructField("batch_id", T.LongType())]))
+        return stored.parquet(self._slot(batch_id - 1)).drop("batch_id")
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        (rows.select(*self.schema.names, F.lit(batch_id).cast("bigint").alias("batch_id"))
+         .write.mode("overwrite").parquet(self._slot(batch_id)))
+
+    def latest(self, spark: SparkSession) -> DataFrame:
+        """The newest complete snapshot."""
+        stored = spark.read.parquet(self.path).drop("slot")
+        newest = stored.agg(F.max("batch_id").alias("batch_id"))
+        return stored.join(newest, "batch_id").select(*self.schema.names)
+
+
+def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key by ``order``; of equal ones the greatest row."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    last = F.max(F.struct(*order, *rest))
+    return (rows.groupBy(*keys).agg(last.alias("_last"))
+            .select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in rows.columns]))
+
+
+def start_latest(rows: DataFrame, snapshot: Snapshot, keys: Sequence[str], order: Sequence[str],
+                 checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the latest row per key of a stream in a snapshot."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        known = snapshot.before(batch.sparkSession, batch_id)
+        merged = known.unionByName(batch.select(*snapshot.schema.names))
+        snapshot.write(latest_per_key(merged, keys, order), batch_id)
+
+    return (rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
+
+
+def without_late(batch: DataFrame, open_rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows not older than the open row of their key; older ones came too late."""
+    opened = open_rows.select(*keys, F.col(ts).alias("_open_ts"))
+    joined = batch.join(opened, list(keys), "left")
+    return joined.where(F.col("_open_ts").isNull() | (F.col(ts) >= F.col("_open_ts"))).drop("_open_ts")
+
+
+def start_spans(rows: DataFrame, open_rows: Snapshot, output: str, keys: Sequence[str], ts: str,
+                checkpoint: str, tiebreak: Sequence[str] = (), trigger: dict | None = None,
+                seconds: int = SLICE_SECONDS) -> StreamingQuery:
+    """Emit each row with its span as soon as the next row of its key arrives.
+
+    The last row of a key stays open in the snapshot. Rows older than the open
+    row of their key are dropped. Closed rows of a batch go to its own folder.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        waiting = open_rows.before(batch.sparkSession, batch_id)
+        fresh = without_late(batch.select(*open_rows.schema.names), waiting, keys, ts)
+        linked = with_neighbour(waiting.unionByName(fresh), keys, ts, {"_next": micros(ts)}, "next",
+                                tiebreak, seconds).persist()
+        span = (F.col("_next") - micros(ts)) / F.lit(float(MICROS))
+        (linked.where("_next IS NOT NULL").withColumn("span", span).drop("_next")
+         .write.mode("overwrite").parquet(f"{output}/batch={batch_id}"))
+        open_rows.write(linked.where("_next IS NULL"), batch_id)
+        linked.unpersist()
+
+    return (rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
