@@ -69,7 +69,7 @@ def downloads(spark: SparkSession, sf: str) -> DataFrame:
         (part % 6).cast("int").alias("dev_mode"),
         (-(F.lit(40) + part % 100)).cast("int").alias("rssi"),
         (-(part % 15)).cast("int").alias("lte_rsrq"),
-        (-(F.lit(80) + part % 50)).cast("int").alias("lte_rsrp"))
+        (-(F.lit(80) + part % 50)).cast("int").alias("lte_rsrp"), "l_orderkey")
 
 
 EXPERIMENTS = [(i, f"Day-{1 + i % 2}", f"2018-03-{15 + i:02d} 00:00", f"policy-{1 + i % 3}")
