@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +53,6 @@ RULES = (
     ("signal_strength_lte_good", "property", "lte_rsrp", -102, 0, 10),
     ("signal_strength_lte_good", "property", "lte_rsrq", -7, 0, 10),
 )
-RULE_COLUMNS = "uid string, role string, name string, lo double, hi double, score double"
 
 _QUERIES: dict[str, Query] = {}
 
@@ -159,8 +159,10 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(float(v) if isinstance(v, int) else v for v in row)
-                                  for row in RULES], RULE_COLUMNS)
+    columns = zip(("uid", "role", "name", "lo", "hi", "score"), zip(*RULES))
+    return spark.createDataFrame(pa.table({
+        name: pa.array(values, pa.string() if isinstance(values[0], str) else pa.float64())
+        for name, values in columns}))
 
 
 # --- sources ------------------------------------------------------------------------------
@@ -925,7 +927,7 @@ def slot_owner(spark, sf):
 def _report(name: str) -> Query:
     # These two look at modes other than LTE, which the stand-in states hardly vary.
     direct = name in ("q10", "q11")
-    return lambda spark, sf: reports.REPORTS[name](roles.campaign(spark, sf, direct))
+    return lambda spark, sf: reports.run(name, roles.campaign(spark, sf, direct))
 
 
 def _checked(fn: Query) -> Query:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstats.plans.campaign import Campaign
-from linkstats.operators.enrich import with_span, with_state
+from linkstats.operators.enrich import with_span
 from linkstats.sources.experiments import experiment_dimension
 
 BATCH = "policy-3"
@@ -89,6 +89,4 @@ def campaign(spark: SparkSession, sf: str, direct_mode: bool = False) -> Campaig
         unread = F.lit(None).cast("int")
         pings = pings.withColumns({"dev_mode": mode, "rssi": unread, "lte_rsrq": unread,
                                    "lte_rsrp": unread})
-    else:
-        pings = with_state(pings, states(spark, sf))
     return Campaign(experiments(spark), pings, downloads(spark, sf), with_span(states(spark, sf)), BATCH)

@@ -38,15 +38,16 @@ def resolve_instants(instants: DataFrame, states: DataFrame, keys: Sequence[str]
     known = known.select(*keys, F.col(state_ts).alias("_ts"),
                          slice_of(micros(state_ts), seconds).alias("_slice"), payload.alias("_state"))
 
-    # Last state of each slice, and the slices that need one from before.
+    # Last state of each slice, and the slices that need one from before. Counting the
+    # points keeps the plan on the instants already reduced, which both uses share.
     latest = known.groupBy(*by_slice).agg(F.max("_state").alias("_state"))
-    asked = points.select(*by_slice).distinct()
+    asked = points.groupBy(*by_slice).agg(F.count("*").alias("_asked"))
     before = (Window.partitionBy(*keys).orderBy("_slice")
               .rangeBetween(Window.unboundedPreceding, -1))
-    marks = (latest.withColumn("_asked", F.lit(False))
-             .unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True))
+    marks = (latest.withColumn("_asked", F.lit(0).cast("bigint"))
+             .unionByName(asked, allowMissingColumns=True))
     carried = (marks.withColumn("_state", F.last("_state", ignorenulls=True).over(before))
-               .where(F.col("_asked") & F.col("_state").isNotNull())
+               .where((F.col("_asked") > 0) & F.col("_state").isNotNull())
                .select(*by_slice, F.col("_state._at").alias("_ts"), "_state"))
 
     # Within a slice: states before instants of equal time, so equality matches.

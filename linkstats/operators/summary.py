@@ -97,28 +97,41 @@ def tool_columns(arms: Arms = Arms()) -> list[str]:
     return base + [arms.named(name) for name in base]
 
 
-def tool_summary(pings: DataFrame, downloads: DataFrame, arms: Arms = Arms(),
-                 combine: str = "merge") -> DataFrame:
-    """Ping and download summaries put together (``v_tool_avg``).
+def paired(pings: DataFrame, downloads: DataFrame, arms: Arms = Arms()) -> DataFrame:
+    """Schedules with both summaries (``ping_*``, ``dwnl_*``) and the merged columns.
 
-    ``merge`` adds the counts of each schedule and weights the start times by
-    them; a schedule without downloads gets NULL throughout. ``stack`` keeps both
-    as separate rows.
+    Counts are added and start times weighted by them. A schedule without
+    downloads has NULL in every merged column.
     """
-    ids = ["exp_id", "sched_id", "node_id"]
-    columns = tool_columns(arms)
-    if combine == "stack":
-        return pings.select(*ids, *columns).unionByName(downloads.select(*ids, *columns))
-    if combine != "merge":
-        raise ValueError(f"unknown way to combine: {combine}")
-    other = downloads.select("sched_id", *[F.col(name).alias(f"_d_{name}") for name in columns])
-    both = pings.select(*ids, *columns).join(other, "sched_id", "left")
+    left = pings.select("exp_id", "sched_id", "node_id",
+                        *[F.col(c).alias(f"ping_{c}") for c in pings.columns])
+    right = downloads.select("sched_id", *[F.col(c).alias(f"dwnl_{c}") for c in downloads.columns])
     merged = {}
-    for name in columns:
+    for name in tool_columns(arms):
         if not name.startswith("init_time"):
-            merged[name] = F.col(name) + F.col(f"_d_{name}")
+            merged[name] = F.col(f"ping_{name}") + F.col(f"dwnl_{name}")
             continue
         cnt = name.replace("init_time", "cnt")
-        weighted = F.col(cnt) * F.col(name) + F.col(f"_d_{cnt}") * F.col(f"_d_{name}")
-        merged[name] = ratio(weighted, F.col(cnt) + F.col(f"_d_{cnt}"))
-    return both.select(*ids, *[column.alias(name) for name, column in merged.items()])
+        weighted = (F.col(f"ping_{cnt}") * F.col(f"ping_{name}")
+                    + F.col(f"dwnl_{cnt}") * F.col(f"dwnl_{name}"))
+        merged[name] = ratio(weighted, F.col(f"ping_{cnt}") + F.col(f"dwnl_{cnt}"))
+    return left.join(right, "sched_id", "left").withColumns(merged)
+
+
+def one_side(pair: DataFrame, side: str) -> DataFrame:
+    """The ping or download summary of the schedules in ``pair``."""
+    prefix = f"{side}_"
+    return pair.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in pair.columns
+                         if c.startswith(prefix)])
+
+
+def tool_summary(pings: DataFrame, downloads: DataFrame, arms: Arms = Arms(),
+                 combine: str = "merge") -> DataFrame:
+    """Ping and download summaries put together (``v_tool_avg``): merged by schedule,
+    or with ``combine='stack'`` kept as separate rows."""
+    columns = ["exp_id", "sched_id", "node_id", *tool_columns(arms)]
+    if combine == "stack":
+        return pings.select(*columns).unionByName(downloads.select(*columns))
+    if combine != "merge":
+        raise ValueError(f"unknown way to combine: {combine}")
+    return paired(pings, downloads, arms).select(*columns)

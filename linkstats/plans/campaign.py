@@ -2,77 +2,99 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from linkstats.functions.measures import Arms, SignalThresholds
-from linkstats.operators.enrich import classified, join_state
-from linkstats.operators.summary import download_summary, ping_summary, tool_summary
+from linkstats.operators.enrich import classified, join_state, with_state
+from linkstats.operators.summary import download_summary, paired, ping_summary, tool_summary
+from linkstats.sinks.tables import replace_views
+from linkstats.sources.experiments import of_batch
+
+SUMMARIES = ("ping_summary", "download_summary")
 
 
 @dataclass
 class Campaign:
-    """Facts of one campaign and everything derived from them.
+    """The tables of one campaign and everything derived from them.
 
-    ``pings`` and ``downloads`` carry the state columns already, ``states`` its span.
+    Probes may carry their state columns already, or the time of their state
+    (``m_ts``), or neither; what is missing is joined when a view needs it.
     """
 
     experiments: DataFrame
-    pings: DataFrame
-    downloads: DataFrame
-    states: DataFrame
+    tcp_ping: DataFrame
+    dwnl_test: DataFrame
+    metadata: DataFrame
     batch: str
     arms: Arms = field(default_factory=Arms)
     limits: SignalThresholds = field(default_factory=SignalThresholds)
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def from_tables(cls, spark: SparkSession, tables: dict[str, str], batch: str, **options) -> "Campaign":
-        """Read the stored tables, where probes keep only the time of their state."""
-        frames = {name: spark.read.parquet(path) for name, path in tables.items()}
-        states = frames["metadata"]
-        return cls(frames["experiment"], join_state(frames["tcp_ping"], states),
-                   join_state(frames["dwnl_test"], states), states, batch, **options)
+        names = ("experiment", "tcp_ping", "dwnl_test", "metadata")
+        return cls(*[spark.read.parquet(tables[name]) for name in names], batch, **options)
+
+    def in_batch(self) -> "Campaign":
+        """Only the facts of the batch. Where tables are partitioned by experiment,
+        the scan skips the others."""
+        chosen = {name: of_batch(getattr(self, name), self.experiments, self.batch)
+                  for name in ("tcp_ping", "dwnl_test", "metadata")}
+        return replace(self, **chosen)
+
+    def view(self, probes: DataFrame) -> DataFrame:
+        """Probes with state, mode label and signal class."""
+        if "dev_mode" in probes.columns:
+            attached = probes
+        elif "m_ts" in probes.columns:
+            attached = join_state(probes, self.metadata)
+        else:
+            attached = with_state(probes, self.metadata)
+        return classified(attached, self.limits)
 
     @cached_property
     def v_metadata(self) -> DataFrame:
-        return classified(self.states, self.limits)
+        return classified(self.metadata, self.limits)
 
     @cached_property
     def v_tcp_ping(self) -> DataFrame:
-        return classified(self.pings, self.limits)
+        return self.view(self.tcp_ping)
 
     @cached_property
     def v_dwnl_test(self) -> DataFrame:
-        return classified(self.downloads, self.limits)
+        return self.view(self.dwnl_test)
 
     @cached_property
     def ping_summary(self) -> DataFrame:
-        return ping_summary(self.v_tcp_ping, self.arms)
+        return self.stored.get("ping_summary") or ping_summary(self.v_tcp_ping, self.arms)
 
     @cached_property
     def download_summary(self) -> DataFrame:
-        return download_summary(self.v_dwnl_test, self.arms)
+        return self.stored.get("download_summary") or download_summary(self.v_dwnl_test, self.arms)
 
     @cached_property
     def tool_summary(self) -> DataFrame:
         return tool_summary(self.ping_summary, self.download_summary, self.arms)
 
+    @cached_property
+    def paired_summary(self) -> DataFrame:
+        return paired(self.ping_summary, self.download_summary, self.arms)
+
     def with_stored_summaries(self, spark: SparkSession, path: str) -> "Campaign":
         """Write both summaries and read them from there; 16 of the reports share them."""
-        stored = Campaign(self.experiments, self.pings, self.downloads, self.states, self.batch,
-                          self.arms, self.limits)
-        for name in ("ping_summary", "download_summary"):
+        stored = {}
+        for name in SUMMARIES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-            stored.__dict__[name] = spark.read.parquet(f"{path}/{name}")
-        return stored
+            stored[name] = spark.read.parquet(f"{path}/{name}")
+        return replace(self, stored=stored)
 
-    def register_views(self, prefix: str = "") -> None:
+    def register_views(self, spark: SparkSession, prefix: str = "") -> None:
         """Create or replace a temporary view per table, for SQL users."""
         views = {"experiment": self.experiments, "v_metadata": self.v_metadata,
                  "v_tcp_ping": self.v_tcp_ping, "v_dwnl_test": self.v_dwnl_test,
                  "tcp_ping_avg": self.ping_summary, "dwnl_test_avg": self.download_summary,
                  "v_tool_avg": self.tool_summary}
-        for name, frame in views.items():
-            frame.createOrReplaceTempView(prefix + name)
+        replace_views(spark, {prefix + name: frame for name, frame in views.items()})

@@ -11,7 +11,7 @@ from linkstats.functions.measures import (Arms, experiment_label, non_default_sh
                                           reported_gain, round_to, to_mib, to_ms, to_percent)
 from linkstats.operators.distributions import (bucket_parts, rtt_breakdown, share_columns,
                                                span_parts, speed_breakdown, weighted_mean)
-from linkstats.operators.summary import INTERFACES, MODES, QUALITIES
+from linkstats.operators.summary import INTERFACES, MODES, QUALITIES, one_side
 from linkstats.operators.totals import additive_parts, with_total
 from linkstats.plans.campaign import Campaign
 from linkstats.sources.experiments import of_batch, with_experiment
@@ -53,10 +53,15 @@ def any_non_lte(arms: Arms) -> Column:
             | (F.col(arms.named("cnt_lte")) != F.col(arms.named("cnt"))))
 
 
-def in_segment(c: Campaign, summary: DataFrame, segment: Column | None) -> DataFrame:
+def in_segment(c: Campaign, side: str, segment: Column | None) -> DataFrame:
+    """One side's summary of the schedules in a segment.
+
+    The segment looks at pings and downloads together, so the two summaries are
+    joined once and the wanted side is taken from the pair.
+    """
     if segment is None:
-        return summary
-    return summary.join(c.tool_summary.where(segment).select("sched_id"), "sched_id", "left_semi")
+        return c.ping_summary if side == "ping" else c.download_summary
+    return one_side(c.paired_summary.where(segment), side)
 
 
 # --- gains --------------------------------------------------------------------------
@@ -79,7 +84,7 @@ def rtt_gain(c: Campaign, segment: Column | None = None) -> DataFrame:
     t = c.arms.treatment_suffix
     parts = _mean_parts(c.arms, {"rtt": ("cnt_rtt", "rtt"), "init": ("cnt", "init_time")})
     parts |= {"wins": _wins(F.col(f"rtt{t}") < F.col("rtt")), "schedules": F.count("*")}
-    rows = by_experiment(c, in_segment(c, c.ping_summary, segment), parts, ["schedules"])
+    rows = by_experiment(c, in_segment(c, "ping", segment), parts, ["schedules"])
 
     def mean(name: str, suffix: str = "") -> Column:
         return ratio(f"{name}_top{suffix}", f"{name}_weight{suffix}")
@@ -102,7 +107,7 @@ def download_gain(c: Campaign, segment: Column | None = None) -> DataFrame:
         for name in ("cnt_dwnl", "dwnl_size", "dwnl_time"):
             parts[name + suffix] = F.sum(name + suffix)
     parts |= {"wins": _wins(F.col(f"dwnl_speed{t}") > F.col("dwnl_speed")), "schedules": F.count("*")}
-    rows = by_experiment(c, in_segment(c, c.download_summary, segment), parts, ["schedules"])
+    rows = by_experiment(c, in_segment(c, "dwnl", segment), parts, ["schedules"])
 
     def speed(suffix: str = "") -> Column:
         return ratio(f"dwnl_size{suffix}", f"dwnl_time{suffix}")
@@ -155,14 +160,14 @@ def selection_shares(c: Campaign, categories: dict[str, str]) -> DataFrame:
 
 def rtt_by(c: Campaign, *keys: str) -> DataFrame:
     """Echo round trips by category, fastest first."""
-    echoes = of_batch(c.v_tcp_ping.where(F.col("ping_type") == "ECHO"), c.experiments, c.batch)
-    return rtt_breakdown(echoes, keys).orderBy(F.col("rtt_ms").asc_nulls_first())
+    echoes = of_batch(c.tcp_ping.where(F.col("ping_type") == "ECHO"), c.experiments, c.batch)
+    return rtt_breakdown(echoes if keys == ("oper",) else c.view(echoes), keys).orderBy(F.col("rtt_ms").asc_nulls_first())
 
 
 def speed_by(c: Campaign, *keys: str) -> DataFrame:
     """Throughput by category, fastest first."""
-    chosen = of_batch(c.v_dwnl_test, c.experiments, c.batch)
-    return speed_breakdown(chosen, keys).orderBy(F.col("speed_mbs").desc_nulls_last())
+    chosen = of_batch(c.dwnl_test, c.experiments, c.batch)
+    return speed_breakdown(chosen if keys == ("oper",) else c.view(chosen), keys).orderBy(F.col("speed_mbs").desc_nulls_last())
 
 
 # --- per schedule ---------------------------------------------------------------------
@@ -228,3 +233,8 @@ REPORTS: dict[str, Report] = {
     "n4": lambda c: schedule_shares(c, MODES),
     "n5": lambda c: schedule_shares(c, QUALITIES),
 }
+
+
+def run(name: str, campaign: Campaign) -> DataFrame:
+    """A report by its key, over the facts of the campaign's batch."""
+    return REPORTS[name](campaign.in_batch())
