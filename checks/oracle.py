@@ -6,8 +6,13 @@ from checks.roles import BATCH, EXPERIMENTS, PROBE_EVENTS, STATE_EVENTS
 
 
 def rnd(expr: str, digits: int) -> str:
+    """Half away from zero; a value just below a tie counts as the tie. Never -0.0."""
     scale = f"{10 ** digits}::DOUBLE"
-    return f"(sign({expr}) * floor(abs({expr}) * {scale} + 0.5000001::DOUBLE) / {scale})"
+
+    def up(x: str) -> str:
+        return f"floor({x} * {scale} + 0.5000001::DOUBLE) / {scale}"
+
+    return f"(CASE WHEN {expr} >= 0 THEN {up(expr)} ELSE 0::DOUBLE - {up(f'(-{expr})')} END)"
 
 
 def _quoted(names) -> str:

@@ -143,16 +143,15 @@ def to_percent(fraction: ColumnOrName) -> Column:
     return _col(fraction) * F.lit(100.0)
 
 
-# Double sums differ in their last bits with the order of addition. A value this
-# close below a tie (in units of the last kept digit) rounds like the tie, so a
+# Double sums differ in their last bits with the order of addition. Rounding this
+# many more digits first brings a value just below a tie back to the tie, so a
 # rounded report does not depend on how the rows were partitioned.
-TIE_GUARD = 1e-7
+GUARD_DIGITS = 6
 
 
 def round_to(value: ColumnOrName, digits: int) -> Column:
     """Round half away from zero to ``digits`` decimals."""
-    value, scale = _col(value), float(10 ** digits)
-    return F.signum(value) * F.floor(F.abs(value) * scale + (0.5 + TIE_GUARD)) / F.lit(scale)
+    return F.round(F.round(_col(value), digits + GUARD_DIGITS), digits)
 
 
 def ratio(top: ColumnOrName, bottom: ColumnOrName) -> Column:

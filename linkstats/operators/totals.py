@@ -15,22 +15,26 @@ from pyspark.sql import functions as F
 TOTAL = "TOTAL"
 
 
-def rows(name: str = "n_rows") -> dict[str, Column]:
-    return {name: F.count("*")}
-
-
 def additive_parts(facts: DataFrame, keys: Sequence[str], parts: dict[str, Column]) -> DataFrame:
     """Aggregate into parts that may be summed again (sums and counts)."""
     return facts.groupBy(*keys).agg(*[column.alias(name) for name, column in parts.items()])
 
 
-def with_total(parts: DataFrame, label: Column, names: Sequence[str], label_name: str,
-               counts: Sequence[str] = ()) -> DataFrame:
-    """Parts under a group label, followed by their sum labelled TOTAL.
+def with_total(parts: DataFrame, keys: Sequence[str], label: Column, names: Sequence[str],
+               label_name: str, counts: Sequence[str] = ()) -> DataFrame:
+    """Parts under a group label, and their sum labelled TOTAL.
 
-    Names in ``counts`` are row counts, whose total over nothing is 0.
+    Every group row also counts towards the total, and a seed row without values
+    makes the total appear when there is no group. Names in ``counts`` are row
+    counts, whose total over nothing is 0.
     """
-    groups = parts.select(label.alias(label_name), *names)
-    sums = [(F.coalesce(F.sum(name), F.lit(0)) if name in counts else F.sum(name)).alias(name)
-            for name in names]
-    return groups.unionByName(parts.agg(*sums).select(F.lit(TOTAL).alias(label_name), *names))
+    kinds = dict(parts.dtypes)
+    no_keys = [F.lit(None).cast(kinds[key]).alias(key) for key in keys]
+    as_group = F.struct(*keys, label.alias(label_name), F.lit(False).alias("is_total"))
+    as_total = F.struct(*no_keys, F.lit(TOTAL).alias(label_name), F.lit(True).alias("is_total"))
+    seed = parts.sparkSession.range(1).select(
+        as_total.alias("_group"),
+        *[F.lit(0 if name in counts else None).cast(kinds[name]).alias(name) for name in names])
+    rows = parts.select(F.explode(F.array(as_group, as_total)).alias("_group"), *names).unionByName(seed)
+    summed = rows.groupBy("_group").agg(*[F.sum(name).alias(name) for name in names])
+    return summed.select(F.col(f"_group.{label_name}").alias(label_name), *names)

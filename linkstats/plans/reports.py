@@ -28,7 +28,7 @@ def by_experiment(c: Campaign, facts: DataFrame, parts: dict[str, Column],
     """Additive parts per experiment of the batch, with a TOTAL row."""
     grouped = additive_parts(of_batch(facts, c.experiments, c.batch), ["exp_id"], parts)
     labelled = with_experiment(grouped, c.experiments, c.batch)
-    return with_total(labelled, experiment_label(), list(parts), "exp_name", counts)
+    return with_total(labelled, ["exp_id"], experiment_label(), list(parts), "exp_name", counts)
 
 
 # --- segments of schedules -----------------------------------------------------------
