@@ -28,6 +28,6 @@ def parse_run_configs(documents: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_run_configs(spark: SparkSession, path: str) -> DataFrame:
-    documents = (spark.read.option("wholetext", True).text(path)
+    documents = (spark.read.text(path, wholetext=True)
                  .select(F.col("_metadata.file_path").alias("path"), "value"))
     return parse_run_configs(documents)

@@ -22,7 +22,7 @@ def parse_experiment_configs(documents: DataFrame, value: str = "value") -> Data
 
 def read_experiment_configs(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per file; any number of files."""
-    return parse_experiment_configs(spark.read.option("wholetext", True).text(path))
+    return parse_experiment_configs(spark.read.text(path, wholetext=True))
 
 
 def experiment_dimension(spark: SparkSession, rows: Iterable[tuple[int, str, str, str]]) -> DataFrame:

@@ -35,7 +35,9 @@ def with_run_identity(files: DataFrame, name: str, path: str = "path",
     when = name_timestamp(day, clock)
     if on_bad_time == "fail":
         problem = F.concat(F.lit("no valid time in file name: "), F.col(path))
-        when = F.coalesce(when, F.raise_error(problem).cast("timestamp"))
+        # Only for files of this tool, in whatever order Spark tests the conditions.
+        when = F.when(F.col(path).rlike(pattern),
+                      F.coalesce(when, F.raise_error(problem).cast("timestamp")))
     return (files.where(F.col(path).rlike(pattern))
             .withColumns({"sched_id": group(1).cast("int"), "run_dtm": when}))
 

@@ -30,7 +30,8 @@ def read_policy_log(spark: SparkSession, root: str, name: str = POLICY_LOG_NAME,
 
 def _mandatory(record: Column, key: str) -> Column:
     problem = F.lit(f"{key} is missing in a metadata line")
-    return F.coalesce(record[key], F.raise_error(problem).cast(schemas.METADATA_JSON[key].dataType))
+    missing = F.raise_error(problem).cast(schemas.METADATA_JSON[key].dataType)
+    return F.when(record.isNotNull(), F.coalesce(record[key], missing))
 
 
 def parse_metadata_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -39,9 +40,11 @@ def parse_metadata_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     Lines not starting with ``{`` are skipped. Malformed JSON and a missing
     interface or timestamp fail the read.
     """
-    record = F.from_json(value, schemas.METADATA_JSON, {"mode": "FAILFAST"})
-    rows = (lines.where(F.startswith(F.col(value), F.lit("{")))
-            .withColumn("_record", record).drop(value))
+    is_json = F.col(value).startswith("{")
+    # Spark may test a condition on the parsed columns before the line filter, so
+    # other lines must not reach the parser in any order.
+    record = F.when(is_json, F.from_json(value, schemas.METADATA_JSON, {"mode": "FAILFAST"}))
+    rows = lines.where(is_json).withColumn("_record", record).drop(value)
     columns = {}
     for key, name, _ in schemas.METADATA_KEYS:
         if name == "ts_epoch":

@@ -71,4 +71,4 @@ def parse_policies(documents: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    return parse_policies(spark.read.option("wholetext", True).text(path))
+    return parse_policies(spark.read.text(path, wholetext=True))
