@@ -385,8 +385,8 @@ def _radio(record_rows: DataFrame, *more: Column) -> DataFrame:
 def message_stream(spark, sf):
     folder = scratch_dir(spark, "messages")
     state_messages(spark, sf).select("value").write.text(f"{folder}/in")
-    messages.start_records(topic.follow_files(spark, f"{folder}/in"), f"{folder}/records",
-                           f"{folder}/rejected", f"{folder}/checkpoint", "META.",
+    messages.start_records(topic.follow_files(spark, f"{folder}/in"), messages.to_folder(f"{folder}/records"),
+                           messages.to_folder(f"{folder}/rejected"), f"{folder}/checkpoint", "META.",
                            trigger={"availableNow": True}).awaitTermination()
     back = spark.read.parquet(f"{folder}/records")
     return _radio(back, F.get_json_object("record", "$.uid").alias("uid"))
@@ -407,8 +407,8 @@ def quality_stream(spark, sf):
                         .alias("name"), F.col("s_nationkey").alias("conn"),
                         (F.col("s_suppkey") % 3).alias("quality"))
 
-    messages.start_records(topic.follow_files(spark, f"{folder}/in"), f"{folder}/records",
-                           f"{folder}/rejected", f"{folder}/checkpoint", "META.", load_quality=load,
+    messages.start_records(topic.follow_files(spark, f"{folder}/in"), messages.to_folder(f"{folder}/records"),
+                           messages.to_folder(f"{folder}/rejected"), f"{folder}/checkpoint", "META.", load_quality=load,
                            trigger={"availableNow": True}).awaitTermination()
     back = spark.read.parquet(f"{folder}/records")
     return back.select("seq_no", F.substring_index("if_name", ":", -1).alias("if_name"),
@@ -797,7 +797,7 @@ def win_rate(spark, sf):
 @query("o_a11")
 def groups_and_total(spark, sf):
     parts = {"cnt": F.count("*"), "rtt": F.sum("rtt")}
-    return reports.by_experiment(roles.campaign(spark, sf), roles.probes(spark, sf), parts, ["cnt"])
+    return reports.by_experiment(roles.campaign(spark, sf), roles.probes(spark, sf), parts, ["cnt"], False)
 
 
 @query("o_u1")

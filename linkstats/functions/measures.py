@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -57,6 +58,14 @@ def _col(value: ColumnOrName) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def collated(df: DataFrame, columns: Sequence[str], collation: str = "UTF8_LCASE") -> DataFrame:
+    """Compare, match and group the given text columns under a collation.
+
+    Comparison is binary unless a frame is passed through here.
+    """
+    return df.withColumns({name: F.collate(F.col(name), collation) for name in columns})
+
+
 # --- labels and classes --------------------------------------------------------
 
 def device_mode(code: ColumnOrName) -> Column:

@@ -32,6 +32,7 @@ class Campaign:
     arms: Arms = field(default_factory=Arms)
     limits: SignalThresholds = field(default_factory=SignalThresholds)
     stored: dict[str, DataFrame] = field(default_factory=dict)
+    narrowed: bool = False
 
     @classmethod
     def from_tables(cls, spark: SparkSession, tables: dict[str, str], batch: str, **options) -> "Campaign":
@@ -43,7 +44,14 @@ class Campaign:
         the scan skips the others."""
         chosen = {name: of_batch(getattr(self, name), self.experiments, self.batch)
                   for name in ("tcp_ping", "dwnl_test", "metadata")}
-        return replace(self, **chosen)
+        return replace(self, narrowed=True, **chosen)
+
+    def of_batch(self, frame: DataFrame, is_summary: bool = False) -> DataFrame:
+        """A frame of this campaign without other batches. Frames made from narrowed
+        tables hold no others; stored summaries do."""
+        if self.narrowed and not (is_summary and self.stored):
+            return frame
+        return of_batch(frame, self.experiments, self.batch)
 
     def view(self, probes: DataFrame) -> DataFrame:
         """Probes with state, mode label and signal class."""

@@ -6,6 +6,8 @@ column like any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from linkstats import schemas
 from linkstats.operators.asof import asof_join
 from linkstats.operators.enrich import with_interface, with_span
 from linkstats.operators.keys import unique_mapping
+from linkstats.session import scratch_dir
 from linkstats.sinks.tables import write_campaign
 from linkstats.sources.experiments import read_experiment_configs
 from linkstats.sources.logs import read_metadata_log, read_policy_log
@@ -43,25 +46,40 @@ def shielded(states: DataFrame, personal: str = "drop") -> DataFrame:
     return states.withColumns({c: F.lit(None).cast("string") for c in schemas.PERSONAL_COLUMNS})
 
 
-def fact_rows(probes: DataFrame, schedules: DataFrame, addresses: DataFrame, operators: DataFrame,
-              states: DataFrame, columns: list[str]) -> DataFrame:
-    """Probes of the configured schedules with ids, lookups and the time of their state."""
-    named = with_interface(probes.join(schedules, "sched_id"), addresses, operators)
-    return asof_join(named, states, {"sched_id": "sched_id", "if_name": "iif_name"}, "run_dtm", "ts",
-                     {"m_ts": "ts"}).select(*columns)
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def stage_to_parquet(spark: SparkSession) -> Stage:
+    """Write a frame to the shared scratch folder and read it back.
+
+    Facts and states are used several times on the way to the tables; from
+    Parquet each use reads its own columns instead of parsing the text again.
+    """
+    def stage(frame: DataFrame, name: str) -> DataFrame:
+        folder = scratch_dir(spark, f"load-{name}")
+        frame.write.parquet(folder)
+        return spark.read.schema(frame.schema).parquet(folder)
+    return stage
 
 
-def campaign_tables(spark: SparkSession, config: str, root: str, personal: str = "drop") -> dict[str, DataFrame]:
-    """The three tables of all schedules named in the experiment configs."""
+def campaign_tables(spark: SparkSession, config: str, root: str, personal: str = "drop",
+                    stage: Stage = lambda frame, name: frame) -> dict[str, DataFrame]:
+    """The three tables of all schedules named in the experiment configs.
+
+    Probes get ids, interface and operator lookups, and the time of their state.
+    """
     schedules = read_experiment_configs(spark, config)
-    states = with_span(read_metadata_log(spark, root).join(schedules, "sched_id"))
+    states = stage(with_span(read_metadata_log(spark, root).join(schedules, "sched_id")), "states")
     addresses, operators = address_map(read_policy_log(spark, root)), operator_map(states)
-    ping_columns, download_columns = schemas.TCP_PING.names, schemas.DWNL_TEST.names
+
+    def facts(raw: DataFrame, name: str, columns: list[str]) -> DataFrame:
+        named = with_interface(raw.join(schedules, "sched_id"), addresses, operators)
+        return asof_join(stage(named, name), states, {"sched_id": "sched_id", "if_name": "iif_name"},
+                         "run_dtm", "ts", {"m_ts": "ts"}).select(*columns)
+
     return {
-        "tcp_ping": fact_rows(read_pings(spark, root), schedules, addresses, operators, states,
-                              ping_columns),
-        "dwnl_test": fact_rows(read_downloads(spark, root), schedules, addresses, operators, states,
-                               download_columns),
+        "tcp_ping": facts(read_pings(spark, root), "pings", schemas.TCP_PING.names),
+        "dwnl_test": facts(read_downloads(spark, root), "downloads", schemas.DWNL_TEST.names),
         "metadata": shielded(states, personal).select(*schemas.METADATA.names),
     }
 
@@ -69,6 +87,6 @@ def campaign_tables(spark: SparkSession, config: str, root: str, personal: str =
 def load_campaign(spark: SparkSession, config: str, root: str, target: str,
                   personal: str = "drop") -> dict[str, str]:
     """Read, check and store a campaign; returns the path of each table."""
-    tables = campaign_tables(spark, config, root, personal)
+    tables = campaign_tables(spark, config, root, personal, stage_to_parquet(spark))
     write_campaign({name: (frame, TABLE_KEYS[name]) for name, frame in tables.items()}, target)
     return {name: f"{target}/{name}" for name in tables}

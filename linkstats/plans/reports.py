@@ -14,7 +14,7 @@ from linkstats.operators.distributions import (bucket_parts, rtt_breakdown, shar
 from linkstats.operators.summary import INTERFACES, MODES, QUALITIES, one_side
 from linkstats.operators.totals import additive_parts, with_total
 from linkstats.plans.campaign import Campaign
-from linkstats.sources.experiments import of_batch, with_experiment
+from linkstats.sources.experiments import with_experiment
 
 Report = Callable[[Campaign], DataFrame]
 
@@ -23,10 +23,10 @@ STATE_MODES = MODES | {"no_service": "NO SERVICE", "disconnected": "DISCONNECTED
                        "unknown": "UNKNOWN"}
 
 
-def by_experiment(c: Campaign, facts: DataFrame, parts: dict[str, Column],
-                  counts: Sequence[str] = ()) -> DataFrame:
+def by_experiment(c: Campaign, frame: DataFrame, parts: dict[str, Column],
+                  counts: Sequence[str] = (), is_summary: bool = True) -> DataFrame:
     """Additive parts per experiment of the batch, with a TOTAL row."""
-    grouped = additive_parts(of_batch(facts, c.experiments, c.batch), ["exp_id"], parts)
+    grouped = additive_parts(c.of_batch(frame, is_summary), ["exp_id"], parts)
     labelled = with_experiment(grouped, c.experiments, c.batch)
     return with_total(labelled, ["exp_id"], experiment_label(), list(parts), "exp_name", counts)
 
@@ -139,7 +139,7 @@ def interface_histogram(c: Campaign, ratio_scale: int | None = 4) -> DataFrame:
 
 def state_distribution(c: Campaign, column: str, categories: dict[str, str]) -> DataFrame:
     """Percent of observed time per category of the interface states."""
-    rows = by_experiment(c, c.v_metadata, span_parts(column, categories))
+    rows = by_experiment(c, c.v_metadata, span_parts(column, categories), is_summary=False)
     return rows.select("exp_name", *share_columns(list(categories), "span_", "span_all"))
 
 
@@ -160,13 +160,13 @@ def selection_shares(c: Campaign, categories: dict[str, str]) -> DataFrame:
 
 def rtt_by(c: Campaign, *keys: str) -> DataFrame:
     """Echo round trips by category, fastest first."""
-    echoes = of_batch(c.tcp_ping.where(F.col("ping_type") == "ECHO"), c.experiments, c.batch)
+    echoes = c.of_batch(c.tcp_ping.where(F.col("ping_type") == "ECHO"))
     return rtt_breakdown(echoes if keys == ("oper",) else c.view(echoes), keys).orderBy(F.col("rtt_ms").asc_nulls_first())
 
 
 def speed_by(c: Campaign, *keys: str) -> DataFrame:
     """Throughput by category, fastest first."""
-    chosen = of_batch(c.dwnl_test, c.experiments, c.batch)
+    chosen = c.of_batch(c.dwnl_test)
     return speed_breakdown(chosen if keys == ("oper",) else c.view(chosen), keys).orderBy(F.col("speed_mbs").desc_nulls_last())
 
 
@@ -182,7 +182,7 @@ def schedule_rtt_gain(c: Campaign) -> DataFrame:
                     round_to(to_ms(f"rtt{suffix}"), 1).alias(f"rtt_ms{suffix}"),
                     round_to(to_ms(f"init_time{suffix}"), 1).alias(f"init_ms{suffix}")]
     gain = round_to(to_percent("rtt_gain"), 2).alias("rtt_gain_pct")
-    return of_batch(c.ping_summary, c.experiments, c.batch).select(*_IDS, *columns, gain)
+    return c.of_batch(c.ping_summary, True).select(*_IDS, *columns, gain)
 
 
 def schedule_download_gain(c: Campaign) -> DataFrame:
@@ -194,7 +194,7 @@ def schedule_download_gain(c: Campaign) -> DataFrame:
                     round_to(to_ms(f"init_time{suffix}"), 1).alias(f"init_ms{suffix}")]
     gains = [round_to(to_percent(f"{name}_gain"), 2).alias(f"{name}_gain_pct")
              for name in ("size", "speed")]
-    return of_batch(c.download_summary, c.experiments, c.batch).select(*_IDS, *columns, *gains)
+    return c.of_batch(c.download_summary, True).select(*_IDS, *columns, *gains)
 
 
 def schedule_shares(c: Campaign, categories: dict[str, str]) -> DataFrame:
@@ -202,7 +202,7 @@ def schedule_shares(c: Campaign, categories: dict[str, str]) -> DataFrame:
     for suffix in ("", c.arms.treatment_suffix):
         columns += [F.col(f"cnt{suffix}"),
                     *share_columns(list(categories), "cnt_", f"cnt{suffix}", suffix)]
-    return of_batch(c.tool_summary, c.experiments, c.batch).select(*_IDS, *columns)
+    return c.of_batch(c.tool_summary, True).select(*_IDS, *columns)
 
 
 REPORTS: dict[str, Report] = {

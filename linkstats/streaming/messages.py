@@ -32,25 +32,44 @@ def records(messages: DataFrame, layout: RecordLayout = RecordLayout()) -> DataF
     return messages.select("if_name", "ts_epoch", "seq_no", F.to_json(record).alias("record"))
 
 
-def start_records(messages: DataFrame, output: str | None, rejected: str, checkpoint: str,
+Delivery = Callable[[DataFrame, int], None]
+
+
+def to_folder(path: str) -> Delivery:
+    """Write each batch to its own folder; a replayed batch replaces what it wrote."""
+    def deliver(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return deliver
+
+
+def to_kafka(servers: str, topic: str) -> Delivery:
+    """Send each record to a topic, keyed by interface. Needs the Kafka package; a
+    replayed batch is sent again."""
+    def deliver(rows: DataFrame, batch_id: int) -> None:
+        (rows.select(F.col("if_name").alias("key"), F.col("record").alias("value")).write
+         .format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save())
+    return deliver
+
+
+def start_records(messages: DataFrame, deliver: Delivery | None, rejected: Delivery, checkpoint: str,
                   topic: str = "", interface_key: str = "InterfaceName", narrowing: str = "null",
                   load_quality: Callable[[], DataFrame] | None = None,
                   layout: RecordLayout = RecordLayout(), trigger: dict | None = None) -> StreamingQuery:
     """Run the message path: good messages become records, bad ones are set aside.
 
-    Each micro-batch writes its own folder, so a replayed batch replaces what it
-    wrote before. ``load_quality`` is called per batch and refreshes the lookup;
-    ``output=None`` means no consumer is configured and records are dropped.
+    ``load_quality`` is called per batch and so refreshes the lookup as often as
+    the trigger fires. Without ``deliver`` no consumer is configured and records
+    are dropped.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         parsed = parsed_messages(batch, topic, interface_key, narrowing)
-        rejects(parsed).write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
-        if output is None:
+        rejected(rejects(parsed), batch_id)
+        if deliver is None:
             return
         good = accepted(parsed)
         if load_quality is not None:
             good = with_link_quality(good, load_quality())
-        records(good, layout).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        deliver(records(good, layout), batch_id)
 
     return (messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())

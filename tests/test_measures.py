@@ -98,3 +98,13 @@ def test_narrowing_modes(spark):
     assert unsigned == [56, 127, 127, None]
     with pytest.raises(PySparkException, match="does not fit"):
         df.select(records.narrow("v", 8, True, "fail")).collect()
+
+
+def test_collation_is_opt_in(spark, rows):
+    df = spark.createDataFrame([("T-Ping", "OP0"), ("t-ping", "op0"), ("ping", "op0")], "run_tool string, if_name string")
+    arms = m.Arms()
+    assert df.where(arms.is_treatment()).count() == 1
+    folded = m.collated(df, ["run_tool", "if_name"])
+    assert folded.where(arms.is_treatment()).count() == 2
+    assert df.groupBy("if_name").count().count() == 2
+    assert [r["count"] for r in folded.groupBy("if_name").count().collect()] == [3]

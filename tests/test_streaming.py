@@ -28,8 +28,8 @@ def send(inbox, name, *lines):
 
 
 def run_records(spark, inbox, **options):
-    messages.start_records(topic.follow_files(spark, str(inbox / "in")), str(inbox / "out"),
-                           str(inbox / "bad"), str(inbox / "cp"), "META", trigger=ONCE,
+    messages.start_records(topic.follow_files(spark, str(inbox / "in")), messages.to_folder(str(inbox / "out")),
+                           messages.to_folder(str(inbox / "bad")), str(inbox / "cp"), "META", trigger=ONCE,
                            **options).awaitTermination()
     return {r.if_name: json.loads(r.record) for r in spark.read.parquet(str(inbox / "out")).collect()}
 
@@ -76,7 +76,7 @@ def test_quality_lookup_is_refreshed_between_batches(spark, inbox):
 
 def test_no_consumer_drops_records_only(spark, inbox):
     send(inbox, "a.txt", LTE, BAD[0])
-    messages.start_records(topic.follow_files(spark, str(inbox / "in")), None, str(inbox / "bad"),
+    messages.start_records(topic.follow_files(spark, str(inbox / "in")), None, messages.to_folder(str(inbox / "bad")),
                            str(inbox / "cp"), "META", trigger=ONCE).awaitTermination()
     assert not (inbox / "out").exists() and spark.read.parquet(str(inbox / "bad")).count() == 1
 
