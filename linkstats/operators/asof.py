@@ -1,7 +1,9 @@
 """Backward as-of join: the latest state at or before each probe's instant.
 
 1. Probes are reduced to their distinct (key, instant) pairs, map-side first. All
-   rows of a run share one instant, so this is far less than the facts.
+   rows of a run share one instant, so this is far less than the facts. States are
+   reduced to one per instant in the same way. A slice of w seconds then holds at
+   most 2 w million rows of a key, whatever the size of the input.
 2. Instants and states are cut into time slices. The state that holds when a
    slice begins is carried in as one extra row, so the window that fills the
    instants runs over (key, slice) and one hot key spreads over many tasks.
@@ -35,8 +37,9 @@ def resolve_instants(instants: DataFrame, states: DataFrame, keys: Sequence[str]
     known = states.where(F.col(state_ts).isNotNull())
     for key in keys:
         known = known.where(F.col(key).isNotNull())
-    known = known.select(*keys, F.col(state_ts).alias("_ts"),
-                         slice_of(micros(state_ts), seconds).alias("_slice"), payload.alias("_state"))
+    # One state per instant, so copies of a state do not pile up in its slice.
+    known = (known.groupBy(*keys, F.col(state_ts).alias("_ts")).agg(F.max(payload).alias("_state"))
+             .withColumn("_slice", slice_of(micros("_ts"), seconds)))
 
     # Last state of each slice, and the slices that need one from before. Counting the
     # points keeps the plan on the instants already reduced, which both uses share.
@@ -50,10 +53,10 @@ def resolve_instants(instants: DataFrame, states: DataFrame, keys: Sequence[str]
                .where((F.col("_asked") > 0) & F.col("_state").isNotNull())
                .select(*by_slice, F.col("_state._at").alias("_ts"), "_state"))
 
-    # Within a slice: states before instants of equal time, so equality matches.
+    # Within a slice: a state comes before an instant of equal time, so equality matches.
     rows = (known.unionByName(carried).withColumn("_is_point", F.lit(False))
             .unionByName(points.withColumn("_is_point", F.lit(True)), allowMissingColumns=True))
-    so_far = (Window.partitionBy(*by_slice).orderBy("_ts", "_is_point", "_state")
+    so_far = (Window.partitionBy(*by_slice).orderBy("_ts", "_is_point")
               .rowsBetween(Window.unboundedPreceding, 0))
     filled = (rows.withColumn("_held", F.last("_state", ignorenulls=True).over(so_far))
               .where(F.col("_is_point") & F.col("_held").isNotNull()))

@@ -39,7 +39,8 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], ts: str, values: dict[str
     """Add columns of the previous or next row of the same key in time order.
 
     ``values`` maps new column names to the expressions taken from that row;
-    the first (or last) row of a key gets NULL.
+    the first (or last) row of a key gets NULL. Time and ``tiebreak`` should be
+    unique within a key (see ``operators.keys``): that bounds a slice by its width.
     """
     forward = direction == "next"
     order = [ts, *tiebreak]
@@ -84,13 +85,19 @@ def with_row_number(df: DataFrame, keys: Sequence[str], ts: str, name: str,
 def trim_ends(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Drop the first and the last row of every recording.
 
-    ``order`` must be unique within a recording. No row is numbered: the two ends
-    come from an aggregate, and the join splits a hot recording.
+    ``order`` must be unique within a recording. The two ends come from an
+    aggregate and are taken out by an anti join on key and order together, so the
+    rows of a long recording spread over all tasks.
     """
     place = F.struct(*order)
-    ends = df.groupBy(*keys).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-    inner = (place > F.col("_first")) & (place < F.col("_last"))
-    return df.join(ends, list(keys)).where(inner).select(*df.columns)
+    ends = (df.groupBy(*keys).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+            .select(*keys, F.explode(F.array("_first", "_last")).alias("_end"))
+            .select(*keys, *[F.col("_end")[name].alias(name) for name in order]))
+    return df.join(ends, [*keys, *order], "left_anti").select(*df.columns)
+
+
+def _clock(value: Column) -> Column:
+    return F.floor(value / F.lit(MICROS))
 
 
 def within_time_limit(df: DataFrame, keys: Sequence[str], ts: str, limit: int,
@@ -98,23 +105,19 @@ def within_time_limit(df: DataFrame, keys: Sequence[str], ts: str, limit: int,
     """Cut each run after its first row beyond the time limit (that row is kept).
 
     Elapsed time counts in whole clock seconds since ``start``, or since the first
-    row of the run. A limit of 0 keeps everything.
+    row of the run. A limit of 0 keeps everything. Rows are reduced to the first of
+    each clock second before runs are looked at, so only the last join sees them
+    all, and adaptive execution splits a hot run there.
     """
     if limit <= 0:
         return df
-    rows = df
-    if start is None:
-        begins = df.groupBy(*keys).agg(F.min(micros(ts)).alias("_begin"))
-        rows = df.join(begins, list(keys))
-    else:
-        rows = df.withColumn("_begin", micros(start))
-
-    def clock(value: Column) -> Column:
-        return F.floor(value / MICROS)
-
     place = F.struct(ts, *tiebreak)
-    late = clock(micros(ts)) - clock(F.col("_begin")) > limit
-    last = (rows.where(late).groupBy(*keys).agg(F.min(place).alias("_last")))
-    kept = rows.join(last, list(keys), "left")
-    return (kept.where(F.col("_last").isNull() | (place <= F.col("_last")))
-            .select(*df.columns))
+    second = _clock(micros(ts)).alias("_second")
+    begin = [] if start is None else [_clock(micros(start)).alias("_begin")]
+    firsts = df.groupBy(*keys, second, *begin).agg(F.min(place).alias("_place"))
+    if start is None:
+        firsts = firsts.join(firsts.groupBy(*keys).agg(F.min("_second").alias("_begin")), list(keys))
+    late = firsts.where(F.col("_second") - F.col("_begin") > limit)
+    last = late.groupBy(*keys).agg(F.min("_place").alias("_last"))
+    kept = df.join(last, list(keys), "left")
+    return kept.where(F.col("_last").isNull() | (place <= F.col("_last"))).select(*df.columns)

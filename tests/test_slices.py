@@ -127,3 +127,10 @@ def test_time_limit_keeps_the_first_late_row(spark):
     started = df.withColumn("begin", F.lit(at(-4)))
     ids = sorted(r.id for r in within_time_limit(started, ["key"], "ts", 5, start="begin").collect())
     assert ids == [0, 1, 5, 6]
+
+
+def test_copies_of_a_state_count_once(spark):
+    # Copies share their instant; of two different states at one instant the greater wins.
+    states = [("a", 10, 1)] * 500 + [("a", 10, 2)] + [("b", 3, 4)] * 3
+    got = run_asof(spark, [("a", 10), ("a", 200), ("b", 3)], states, 60)
+    assert got == {0: (at(10), 2), 1: (at(10), 2), 2: (at(3), 4)}
