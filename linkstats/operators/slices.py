@@ -26,7 +26,8 @@ _SLICE, _EDGE = "_slice", "_edge"
 
 
 def slice_of(ts_micros: Column, seconds: int = SLICE_SECONDS) -> Column:
-    return F.floor(ts_micros / F.lit(seconds * MICROS)).cast("bigint")
+    """Begin of the time slice, in microseconds."""
+    return ts_micros - F.pmod(ts_micros, F.lit(seconds * MICROS))
 
 
 def _in_slice(keys: Sequence[str]) -> list[str]:
