@@ -23,11 +23,12 @@ def write_partitioned(df: DataFrame, path: str, partition: str = "exp_id") -> No
 
 
 def write_campaign(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str) -> None:
-    """Write tables given as name -> (frame, primary key), all of them or none.
+    """Write tables given as name -> (frame, primary key), none of them on bad input.
 
     Every table is computed into a scratch folder and its key checked there.
     Only then are the stored tables replaced, so a bad input, which fails while
-    it is computed or checked, leaves them as they were.
+    it is computed or checked, leaves them as they were. The tables are replaced
+    one after the other; if that step is cut short, load again.
     """
     staged = {}
     for name, (frame, key) in tables.items():
