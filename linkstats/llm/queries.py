@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstats.llm import oracle
-from linkstats.llm.common import table
+from linkstats.llm.common import held_out, table
 from linkstats.llm.line_dedup import dedup_lines
+from linkstats.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                              "predicted")
+
+
 def all_queries() -> dict[str, Query]:
-    return {"op4_line_dedup": op4_line_dedup}
+    return {q.__name__: q for q in (op4_line_dedup, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
