@@ -11,6 +11,8 @@ from linkstats.llm import oracle
 from linkstats.llm.common import held_out, table
 from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
+from linkstats.llm.warc import page_of, read_warc, records, write_warc
+from linkstats.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return records(read_warc(spark, folder, payloads=False)).select(
+        page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("warc_type").alias("record_type"), page_of(F.col("refers_to")).alias("refers_to"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -29,7 +39,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op4_line_dedup, op10_toxicity)}
+    return {q.__name__: q for q in (op4_line_dedup, op5_warc, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
