@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkstats.llm import oracle
 from linkstats.llm.common import held_out, table
+from linkstats.llm.language import fit_language, predict_language
 from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
 from linkstats.llm.warc import page_of, read_warc, records, write_warc
@@ -17,6 +18,12 @@ from linkstats.session import scratch_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predict_language(docs, fit_language(docs), spans=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped",
@@ -39,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op4_line_dedup, op5_warc, op10_toxicity)}
+    return {q.__name__: q for q in (op3_language, op4_line_dedup, op5_warc, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
