@@ -11,6 +11,7 @@ from linkstats.llm import oracle
 from linkstats.llm.common import held_out, table
 from linkstats.llm.language import fit_language, predict_language
 from linkstats.llm.line_dedup import dedup_lines
+from linkstats.llm.near_dedup import near_duplicates
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
 from linkstats.llm.warc import page_of, read_warc, records, write_warc
 from linkstats.session import scratch_dir
@@ -18,6 +19,10 @@ from linkstats.session import scratch_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = predict_language(docs, fit_language(docs), spans=False)
@@ -46,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op3_language, op4_line_dedup, op5_warc, op10_toxicity)}
+    return {q.__name__: q for q in (op1_near_dedup, op3_language, op4_line_dedup, op5_warc, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
