@@ -13,6 +13,7 @@ from linkstats.llm.language import fit_language, predict_language
 from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.near_dedup import near_duplicates
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
+from linkstats.llm.vector_search import nearest
 from linkstats.llm.warc import page_of, read_warc, records, write_warc
 from linkstats.session import scratch_dir
 
@@ -23,6 +24,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = predict_language(docs, fit_language(docs), spans=False)
@@ -51,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op3_language, op4_line_dedup, op5_warc, op10_toxicity)}
+    return {q.__name__: q for q in (op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
