@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkstats.llm import oracle
 from linkstats.llm.common import held_out, table
+from linkstats.llm.decontaminate import find_matches
 from linkstats.llm.language import fit_language, predict_language
 from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.near_dedup import near_duplicates
@@ -48,6 +49,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("warc_type").alias("record_type"), page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -56,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op10_toxicity)}
+    return {q.__name__: q for q in (op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op7_decontamination, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
