@@ -13,6 +13,7 @@ from linkstats.llm.decontaminate import find_matches
 from linkstats.llm.language import fit_language, predict_language
 from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.near_dedup import near_duplicates
+from linkstats.llm.quality import quality
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
 from linkstats.llm.vector_search import nearest
 from linkstats.llm.warc import page_of, read_warc, records, write_warc
@@ -54,6 +55,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -62,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op7_decontamination, op10_toxicity)}
+    return {q.__name__: q for q in (op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op7_decontamination, op9_quality, op10_toxicity)}
 
 
 def all_sql() -> dict[str, str]:
