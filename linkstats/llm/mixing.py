@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from linkstats.llm.common import others, quoted, stage
 
 BUCKETS = 1 << 12
+
+#: Shares of expected tokens that a mixture should have unless told otherwise.
+MIXTURE = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
 QUALITY_DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN quality = 1 THEN 'good' END"
 
 

@@ -210,3 +210,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
             .select(marked["doc_id"], marked["n_shingles"],
                     F.coalesce("component", marked["doc_id"]).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Documents without the near copies of one with a smaller id."""
+    kept = near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

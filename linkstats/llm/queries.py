@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from linkstats.llm import oracle
 from linkstats.llm.common import held_out, table
 from linkstats.llm.decontaminate import find_matches
 from linkstats.llm.language import fit_language, predict_language
 from linkstats.llm.line_dedup import dedup_lines
-from linkstats.llm.mixing import mix
+from linkstats.llm.mixing import MIXTURE, mix
 from linkstats.llm.near_dedup import near_duplicates
 from linkstats.llm.quality import quality
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
@@ -56,10 +57,6 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         table(spark, sf_dir, "benchmark"))
 
 
-#: Shares of expected tokens that the mixture of the query and of the pipeline should have.
-MIXTURE = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
-
-
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mix(docs, table(spark, sf_dir, "labels"), MIXTURE)
@@ -77,7 +74,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op7_decontamination, op8_mixing, op9_quality, op10_toxicity)}
+    return {q.__name__: q for q in (
+        op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op7_decontamination, op8_mixing,
+        op9_quality, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:
