@@ -9,8 +9,9 @@ confirmed on the full sets of both texts.
 
 Equal sets become one node first. In a bucket every member is compared with the bucket's smallest node;
 confirmed links make components. Then only members of different components that share a bucket are
-compared, so a large group of copies costs one comparison per member, and no link between components is
-lost.
+compared: in buckets of at most ``SMALL`` members pair by pair, in larger ones block by block, where a task
+intersects all sets of two blocks at once. So a large group of copies costs one comparison per member as far
+as its smallest node reaches; the rest is compared in full, and no link between components is lost.
 
 Defined results: a text without words has an empty set and is linked with nothing. Ties (equal sets) are
 linked. Rows that share an id count as one document. A null id is linked with nothing and kept; its
@@ -32,6 +33,10 @@ from linkstats.llm.common import arrow_batches, schema_of, stage
 from linkstats.llm.components import connected_components
 
 
+#: Members of a bucket that are compared pair by pair, and of a block of a larger bucket.
+SMALL, BLOCK = 32, 128
+
+
 def shingles(text: str | None, words: int) -> set[bytes]:
     """Distinct shingles; bytes.lower and bytes.split know ASCII letters and ASCII space only."""
     parts = text.encode("utf-8", "replace").lower().split() if text else []
@@ -169,6 +174,102 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return both.mapInArrow(rows, schema)
 
 
+def _small_bucket_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs of members of different components; a member meets at most ``SMALL`` others in a bucket."""
+    other = buckets.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return (buckets.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key")
+            .filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct())
+
+
+def _hashed_sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Columns of ``nodes`` and the sorted 64-bit hashes of each node's shingles."""
+    schema = schema_of("part long, block long, whole long, node long, component long, hashes binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows_in = texts.join(nodes.hint("shuffle_hash"), F.col("id") == F.col("node")).select(
+        "part", "block", "whole", "node", "component", "text")
+
+    def rows(batches: Iterator) -> Iterator:
+        def each():
+            for batch in batches:
+                for *row, text in zip(*batch.columns):
+                    hashes = np.unique(np.array([hash64(x) for x in shingles(text.as_py(), words)], np.uint64))
+                    yield (*(v.as_py() for v in row), hashes.tobytes())
+        yield from arrow_batches(schema, each())
+
+    return rows_in.mapInArrow(rows, schema)
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all sets of another."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)))
+    rows = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    places = []
+    for flat, row in zip((a, b), rows):
+        at = np.searchsorted(both, flat)
+        known = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == flat) if len(both) else np.zeros(len(flat), bool)
+        places.append((row[known], at[known]))
+    for begin in range(0, len(both), columns):
+        parts = []
+        for (row, at), n in zip(places, (len(left), len(right))):
+            inside = (at >= begin) & (at < begin + columns)
+            dense = np.zeros((n, columns), np.float32)
+            dense[row[inside], at[inside] - begin] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _links_in_blocks(buckets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components among the members of large buckets.
+
+    Members of buckets that overlap form a part. A part is cut into blocks of about ``BLOCK`` members;
+    a component with that many members fills blocks of its own, the members of smaller ones are pooled. Two
+    blocks are compared in one task as two matrices of shingles, without a row per pair, unless both are
+    of one component. One link for every two components that meet is enough."""
+    stars = buckets.filter(F.col("node") != F.col("leader")).select(
+        F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    parts = connected_components(stars).select("node", F.col("component").alias("part"))
+    members = buckets.select("node", "component").distinct().join(parts, "node")
+    sizes = members.groupBy("part", "component").agg(F.count("*").alias("n")).withColumn("pooled", F.col("n") < BLOCK)
+    pools = sizes.filter("pooled").groupBy("part").agg(F.sum("n").alias("pool"))
+    sized = members.join(sizes, ["part", "component"]).join(pools, "part", "left")
+    spread = F.ceil(F.when(F.col("pooled"), F.col("pool")).otherwise(F.col("n")) / BLOCK).cast("long")
+    whole = F.when(~F.col("pooled"), F.col("component"))  # null in a pool
+    number = F.pmod(F.xxhash64("node"), spread)
+    placed = sized.select("part", F.xxhash64(whole, number).alias("block"), whole.alias("whole"), "node", "component")
+    sets = stage(_hashed_sets(placed, docs, words), "near-sets")
+    blocks = sets.select("part", "block", "whole").distinct()
+    second = blocks.select("part", F.col("block").alias("block2"), F.col("whole").alias("whole2"))
+    tasks = stage(blocks.join(second, "part").filter(
+        (F.col("block") <= F.col("block2")) & ~F.coalesce(F.col("whole") == F.col("whole2"), F.lit(False)))
+        .select("part", "block", "block2"), "near-tasks")
+    sides = tasks.select("part", "block", "block2", F.explode(F.array("block", "block2")).alias("at")).distinct()
+    rows = sides.join(sets.select("part", F.col("block").alias("at"), "node", "component", "hashes"), ["part", "at"])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table: pa.Table) -> pa.Table:
+        first, second = table["block"][0].as_py(), table["block2"][0].as_py()
+        at = table["at"].to_numpy()
+        node, component = table["node"].to_numpy(), table["component"].to_numpy()
+        sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        left, right = np.flatnonzero(at == first), np.flatnonzero(at == second)
+        sizes = np.array([len(x) for x in sets])
+        common = common_counts([sets[i] for i in left], [sets[i] for i in right])
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        linked = (100 * common >= percent * union) & (component[left][:, None] != component[right][None, :])
+        found = {}
+        for i, j in zip(*np.nonzero(linked)):
+            x, y = left[i], right[j]
+            found.setdefault((component[x], component[y]), (int(node[x]), int(node[y])))
+        pairs = [(min(p), max(p)) for p in found.values()]
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
+                        schema=schema)
+
+    return rows.groupBy("part", "block", "block2").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int = 10, width: int = 5,
                     errors: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links), kept (it is that one)."""
@@ -192,15 +293,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     found = connected_components(links)
     placed = (shared.select("key", "node").join(found, "node", "left")
               .select("key", "node", F.coalesce("component", "node").alias("component")))
-    mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .filter(F.col("low") < F.col("high")).select("key"))
-    open_buckets = stage(placed.join(mixed, "key", "left_semi"), "near-open")
-    other = open_buckets.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = (open_buckets.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key")
-            .filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")))
-            .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
+    mixed = (placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                       F.min("node").alias("leader"), F.count("*").alias("members"))
+             .filter(F.col("low") < F.col("high")).select("key", "leader", "members"))
+    open_buckets = stage(placed.join(mixed, "key"), "near-open")
+    rest = _small_bucket_pairs(open_buckets.filter(F.col("members") <= SMALL)).join(stars, ["a", "b"], "left_anti")
     more = stage(confirmed(stage(_near_by_signature(rest, classes, percent, most), "near-pairs"),
                            docs, words, percent), "near-links")
+    wide = stage(_links_in_blocks(open_buckets.filter(F.col("members") > SMALL), docs, words, percent), "near-links")
+    more = more.union(wide)
     component = stage(connected_components(links.union(more)), "near-components")
     nodes = classes.select("f1", "f2", "n_shingles", "node").join(component, "node", "left").select(
         "f1", "f2", F.col("n_shingles").alias("size"), F.coalesce("component", "node").alias("component"))
