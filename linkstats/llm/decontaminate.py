@@ -147,12 +147,14 @@ def latent_space(tokens: DataFrame, idf: np.ndarray, keep: np.ndarray, kind, ran
     def rows(batches: Iterator) -> Iterator:
         total = np.zeros((n, width))
         factors = np.vstack([idf[:, None] * sketch, np.zeros((1, width))]).astype(np.float32)
-        weights = np.append(idf, 0.0)
         for _, texts in _groups(batches, kind):
             flat, block, first = _blocks(texts)
             sums, terms, at = _block_sums(flat, block, int(first[-1]), factors, np.append(keep, False))
-            for j in range(width):
-                total[:, j] += np.bincount(terms, weights=weights[terms] * sums[at, j], minlength=n)[:n]
+            if len(terms):  # a term's weight is the same in every passage, so it comes last
+                order = np.argsort(terms, kind="stable")
+                starts = np.flatnonzero(np.diff(terms[order], prepend=-1))
+                total[terms[order[starts]]] += np.add.reduceat(sums[at[order]], starts, axis=0)
+        total *= idf[:, None]
         held = np.flatnonzero(total.any(axis=1))
         yield from arrow_batches(schema, ((int(t), *map(float, total[t])) for t in held))
 
