@@ -16,6 +16,7 @@ from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.mixing import MIXTURE, mix
 from linkstats.llm.near_dedup import near_duplicates
 from linkstats.llm.quality import quality
+from linkstats.llm.suffix_dedup import remove_repeats
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
 from linkstats.llm.vector_search import nearest
 from linkstats.llm.warc import page_of, read_warc, records, write_warc
@@ -52,6 +53,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("warc_type").alias("record_type"), page_of(F.col("refers_to")).alias("refers_to"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), depth=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"),
                         table(spark, sf_dir, "benchmark"))
@@ -75,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op7_decontamination, op8_mixing,
+        op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op6_suffix_dedup, op7_decontamination, op8_mixing,
         op9_quality, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
 
 
