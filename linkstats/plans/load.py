@@ -1,7 +1,7 @@
 """Load a campaign's raw result files into the fact and state tables.
 
-All schedules are read in one distributed scan per file kind; ``sched_id`` is a
-column like any other.
+The listed schedules are read in one distributed scan per file kind; ``sched_id``
+is a column like any other. Folders of other schedules are not opened.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from linkstats import schemas
 from linkstats.operators.asof import asof_join
 from linkstats.operators.enrich import with_interface, with_span
 from linkstats.operators.keys import unique_mapping
-from linkstats.session import scratch_dir
+from linkstats.session import remove_scratch, scratch_dir
 from linkstats.sinks.tables import write_campaign
 from linkstats.sources.experiments import read_experiment_configs
+from linkstats.sources.files import folders_of
 from linkstats.sources.logs import read_metadata_log, read_policy_log
 from linkstats.sources.probes import read_downloads, read_pings
 
@@ -49,14 +50,16 @@ def shielded(states: DataFrame, personal: str = "drop") -> DataFrame:
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
-def stage_to_parquet(spark: SparkSession) -> Stage:
-    """Write a frame to the shared scratch folder and read it back.
+def stage_to_parquet(spark: SparkSession, folders: list[str] | None = None) -> Stage:
+    """Write a frame to the shared scratch folder and read it back; ``folders`` collects where.
 
     Facts and states are used several times on the way to the tables; from
     Parquet each use reads its own columns instead of parsing the text again.
     """
     def stage(frame: DataFrame, name: str) -> DataFrame:
         folder = scratch_dir(spark, f"load-{name}")
+        if folders is not None:
+            folders.append(folder)
         frame.write.parquet(folder)
         return spark.read.schema(frame.schema).parquet(folder)
     return stage
@@ -69,8 +72,10 @@ def campaign_tables(spark: SparkSession, config: str, root: str, personal: str =
     Probes get ids, interface and operator lookups, and the time of their state.
     """
     schedules = read_experiment_configs(spark, config)
-    states = stage(with_span(read_metadata_log(spark, root).join(schedules, "sched_id")), "states")
-    addresses, operators = address_map(read_policy_log(spark, root)), operator_map(states)
+    root = folders_of(root, schedules)
+    states = stage(with_span(stage(read_metadata_log(spark, root).join(schedules, "sched_id"), "log")), "states")
+    listed = read_policy_log(spark, root).join(schedules.select("sched_id").distinct(), "sched_id", "left_semi")
+    addresses, operators = address_map(listed), operator_map(states)
 
     def facts(raw: DataFrame, name: str, columns: list[str]) -> DataFrame:
         named = with_interface(raw.join(schedules, "sched_id"), addresses, operators)
@@ -85,8 +90,21 @@ def campaign_tables(spark: SparkSession, config: str, root: str, personal: str =
 
 
 def load_campaign(spark: SparkSession, config: str, root: str, target: str,
-                  personal: str = "drop") -> dict[str, str]:
-    """Read, check and store a campaign; returns the path of each table."""
-    tables = campaign_tables(spark, config, root, personal, stage_to_parquet(spark))
-    write_campaign({name: (frame, TABLE_KEYS[name]) for name, frame in tables.items()}, target)
-    return {name: f"{target}/{name}" for name in tables}
+                  personal: str = "drop", experiments: DataFrame | None = None) -> dict[str, str]:
+    """Read, check and store a campaign; returns the path of each table.
+
+    With ``experiments``, the dimension is stored as well, as ``Campaign.from_tables``
+    needs it. Scratch folders are removed, whether the load succeeds or fails.
+    """
+    folders: list[str] = []
+    try:
+        tables = campaign_tables(spark, config, root, personal, stage_to_parquet(spark, folders))
+        write_campaign({name: (frame, TABLE_KEYS[name]) for name, frame in tables.items()}, target)
+    finally:
+        for folder in folders:
+            remove_scratch(spark, folder)
+    paths = {name: f"{target}/{name}" for name in tables}
+    if experiments is not None:
+        paths["experiment"] = f"{target}/experiment"
+        experiments.write.mode("overwrite").parquet(paths["experiment"])
+    return paths

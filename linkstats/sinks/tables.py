@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkstats.functions.measures import fixed_point
 from linkstats.operators.keys import require_unique
-from linkstats.session import scratch_dir
+from linkstats.session import remove_scratch, scratch_dir
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str = "exp_id") -> None:
@@ -30,14 +30,19 @@ def write_campaign(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str
     it is computed or checked, leaves them as they were. The tables are replaced
     one after the other; if that step is cut short, load again.
     """
-    staged = {}
-    for name, (frame, key) in tables.items():
-        spark = frame.sparkSession
-        folder = scratch_dir(spark, f"stage-{name}")
-        frame.write.parquet(folder)
-        staged[name] = require_unique(spark.read.schema(frame.schema).parquet(folder), key, name)
-    for name, frame in staged.items():
-        write_partitioned(frame, f"{path}/{name}")
+    staged, folders = {}, []
+    try:
+        for name, (frame, key) in tables.items():
+            spark = frame.sparkSession
+            folder = scratch_dir(spark, f"stage-{name}")
+            folders.append((spark, folder))
+            frame.write.parquet(folder)
+            staged[name] = require_unique(spark.read.schema(frame.schema).parquet(folder), key, name)
+        for name, frame in staged.items():
+            write_partitioned(frame, f"{path}/{name}")
+    finally:
+        for spark, folder in folders:
+            remove_scratch(spark, folder)
 
 
 def replace_table(df: DataFrame, name: str, path: str) -> DataFrame:

@@ -49,6 +49,20 @@ def discover_result_files(spark: SparkSession, root: str, name: str) -> DataFram
     return with_run_identity(listing, name)
 
 
+#: Schedules that one load may list. Their numbers become part of the path that is read.
+MOST_SCHEDULES = 10_000
+
+
+def folders_of(root: str, schedules: DataFrame) -> str:
+    """Pattern of the folders of the listed schedules, so that no other is opened."""
+    ids = sorted(r[0] for r in schedules.select("sched_id").distinct().limit(MOST_SCHEDULES + 1).collect())
+    if len(ids) > MOST_SCHEDULES:
+        raise ValueError(f"more than {MOST_SCHEDULES} schedules in one load")
+    if not ids:
+        raise ValueError("the configs list no schedule")
+    return f"{root.rstrip('/')}/{{{','.join(map(str, ids))}}}"
+
+
 def read_result_lines(spark: SparkSession, root: str, name: str, glob: str) -> DataFrame:
     """Text lines of one tool's files with ``path``, ``sched_id`` and ``run_dtm``.
 

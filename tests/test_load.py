@@ -1,6 +1,7 @@
 """Raw files to tables, end to end, on a hand-made campaign."""
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -107,6 +108,32 @@ def test_load_store_and_report(spark, raw, rows):
     assert spark.sql("SELECT count(*) FROM t_v_tcp_ping WHERE device_mode = '?'").first()[0] == 1
 
 
+def test_other_schedules_are_not_opened(spark, raw, rows):
+    put(raw / "campaign" / "7003" / "policyd-20240105-101000.txt", "[local_ip|10.0.0.1] [interface|op0]\n")
+    put(raw / "campaign" / "7003" / "policyd-20240105-111000.txt", "[local_ip|10.0.0.1] [interface|op1]\n")
+    put(raw / "campaign" / "7003" / "metadata-20240105-101700.txt", '{"InternalInterface":"op0"\n')
+    put(raw / "campaign" / "7003" / "tcp-ping-20240105-101700.txt", "not\ta row\n")
+    target = scratch_dir(spark, "tables")
+    experiments = experiment_dimension(spark, [(900, "Day-1", "2024-01-05 10:00", "b")])
+    paths = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target, experiments=experiments)
+    c = Campaign.from_tables(spark, paths, "b")
+    assert c.tcp_ping.count() == 5 and rows(c.experiments, "exp_id", "batch") == [(900, "b")]
+
+
+def test_load_removes_its_scratch(spark, raw):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+
+    def left():
+        return {p.name for pattern in ("load-*", "stage-*") for p in shared.glob(pattern)}
+
+    before = left()
+    load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), scratch_dir(spark, "tables"))
+    put(raw / "campaign" / "7001" / "tcp-ping-20240105-101700.txt", "not\ta row\n")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), scratch_dir(spark, "tables"))
+    assert left() == before
+
+
 def test_mapping_conflict_fails_the_load(spark, raw):
     put(raw / "campaign" / "7001" / "policyd-20240105-111000.txt", "[local_ip|10.0.0.1] [interface|op1]\n")
     target = scratch_dir(spark, "tables")
