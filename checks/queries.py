@@ -53,6 +53,13 @@ RULES = (
     ("signal_strength_lte_good", "property", "lte_rsrp", -102, 0, 10),
     ("signal_strength_lte_good", "property", "lte_rsrq", -7, 0, 10),
 )
+# Rules of another shape: without a condition, and with ranges that overlap.
+RULES += (
+    ("anywhere", "property", "device_mode", 4, 5, 1),
+    ("overlapping", "match", "rssi", -128, -70, None),
+    ("overlapping", "match", "rssi", -90, 0, None),
+    ("overlapping", "property", "dlb_quality", 0, 1, 2),
+)
 
 _QUERIES: dict[str, Query] = {}
 
@@ -290,7 +297,7 @@ def policy_rules(spark, sf):
         '{"interface": {"value": "op%d", "precedence": 2}}]]}', size)
     form = F.col("p_partkey") % 3
     text = F.concat(uid, F.when(form == 0, listed).when(form == 1, ranged).otherwise(profile))
-    return policies.parse_policies(p.select(text.alias("value")))
+    return policies.parse_policies(p.select(text.alias("value"))).drop("priority", "replace_matched")
 
 
 @query("o_s11")

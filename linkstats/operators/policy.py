@@ -1,6 +1,6 @@
 """Score interface states against policy rules and pick the best interface.
 
-A rule applies to a state when every one of its match conditions holds. It then
+A rule applies to a state when all of its match conditions hold. It then
 adds the scores of its properties that hold. How rules apply is defined here;
 rules and scores are data (see ``linkstats.sources.policies``).
 """
@@ -15,29 +15,56 @@ from pyspark.sql import functions as F
 STATE_READINGS = ("device_mode", "rssi", "lte_rsrp", "lte_rsrq", "dlb_quality")
 
 
+ALWAYS = ""  # name of a reading that every state has
+
+
+def _complete(rules: DataFrame) -> DataFrame:
+    """Rule entries with their group and text, and how many names their rule must match.
+
+    A rule without match conditions gets an entry that every state holds.
+    """
+    group = F.col("group_no") if "group_no" in rules.columns else F.lit(0)
+    text = F.col("text_value") if "text_value" in rules.columns else F.lit(None).cast("string")
+    entries = rules.select("uid", "role", "name", "lo", "hi", "score", group.alias("group_no"),
+                           text.alias("text_value")).distinct()
+    needed = entries.groupBy("uid").agg(
+        F.count_distinct(F.when(F.col("role") == "match", F.col("name"))).alias("needed"))
+    free = needed.where("needed = 0").select(
+        "uid", F.lit("always").alias("role"), F.lit(ALWAYS).alias("name"), "needed")
+    return entries.join(needed, "uid").unionByName(free, allowMissingColumns=True)
+
+
 def rule_scores(states: DataFrame, rules: DataFrame, keys: Sequence[str],
                 readings: Sequence[str] = STATE_READINGS) -> DataFrame:
     """Score of each rule that applies to each state: (keys, uid, score).
 
+    A rule applies when for every name in its match conditions one of the alternatives
+    holds: a range for a number, equality for a text. A rule without conditions applies
+    to every state. A property counts once for each group and name, whichever of its
+    alternatives hold.
+
     States are shuffled once, before their readings are laid out one per row. The
     readings meet the rules by name and range, and as long as Spark can broadcast
     the rules, putting them back together by state needs no further shuffle.
     """
-    cells = F.array_compact(F.array(*[
-        F.when(F.col(name).isNotNull(),
-               F.struct(F.lit(name).alias("name"), F.col(name).cast("double").alias("reading")))
-        for name in readings]))
-    long = states.repartition(*keys).select(*keys, F.explode(cells).alias("c")).select(*keys, "c.name", "c.reading")
-    bounds = rules.where("lo IS NOT NULL").select("uid", "role", "name", "lo", "hi", "score").distinct()
-    needed = (rules.where("role = 'match'").groupBy("uid")
-              .agg(F.count_distinct("name").alias("needed")))
-    held = (long.join(bounds, "name")
-            .where(F.col("reading").between(F.col("lo"), F.col("hi"))))
-    is_match = F.col("role") == "match"
-    scored = held.groupBy(*keys, "uid").agg(
-        F.sum(F.when(is_match, 1).otherwise(0)).alias("met"),
-        F.sum(F.when(~is_match, F.coalesce("score", F.lit(0.0))).otherwise(0.0)).alias("score"))
-    return scored.join(needed, "uid").where(F.col("met") == F.col("needed")).select(*keys, "uid", "score")
+    cells = F.array_compact(F.array(
+        F.struct(F.lit(ALWAYS).alias("name"), F.lit(None).cast("double").alias("reading"),
+                 F.lit(None).cast("string").alias("text")), *[
+            F.when(F.col(name).isNotNull(),
+                   F.struct(F.lit(name).alias("name"), F.col(name).try_cast("double").alias("reading"),
+                            F.col(name).cast("string").alias("text")))
+            for name in readings]))
+    long = (states.repartition(*keys).select(*keys, F.explode(cells).alias("c"))
+            .select(*keys, "c.name", "c.reading", "c.text"))
+    held = long.join(_complete(rules), "name").where(
+        (F.col("role") == "always") | F.col("reading").between(F.col("lo"), F.col("hi"))
+        | (F.col("text") == F.col("text_value")))
+    scored = held.groupBy(*keys, "uid", "needed").agg(
+        F.size(F.collect_set(F.when(F.col("role") == "match", F.col("name")))).alias("met"),
+        F.sort_array(F.collect_set(F.when(F.col("role") == "property", F.struct("group_no", "name", "score"))))
+        .alias("properties"))
+    score = F.aggregate("properties", F.lit(0.0), lambda a, x: a + F.coalesce(x["score"].cast("double"), F.lit(0.0)))
+    return scored.where("met = needed").select(*keys, "uid", score.alias("score"))
 
 
 def state_scores(states: DataFrame, rules: DataFrame, keys: Sequence[str],

@@ -46,28 +46,30 @@ def _grouped_properties(raw: Column) -> Column:
 
 
 def parse_policies(documents: DataFrame, value: str = "value") -> DataFrame:
-    """Rows (uid, policy_type, role, group_no, name, lo, hi, text_value, precedence, score).
+    """Rows (uid, policy_type, role, group_no, name, lo, hi, text_value, precedence, score,
+    priority, replace_matched).
 
     ``role`` is ``match`` or ``property``. A scalar is a range of one value; a
     list becomes one row per element; text stays in ``text_value``.
     """
     rule = F.from_json(value, _RULE, {"mode": "FAILFAST"})
     rules = documents.select(rule.alias("r"))
-    ids = [F.col("r.uid").alias("uid"), F.col("r.policy_type").alias("policy_type")]
+    ids = [F.col("r.uid").alias("uid"), F.col("r.policy_type").alias("policy_type"),
+           F.col("r.priority").alias("priority"), F.col("r.replace_matched").alias("replace_matched")]
     matches = rules.where("r.match IS NOT NULL").select(
         *ids, F.lit("match").alias("role"), F.lit(0).alias("group_no"),
         F.explode(_entries(F.col("r.match"))).alias("e"))
     properties = (rules.where("r.properties IS NOT NULL")
                   .select(*ids, F.lit("property").alias("role"),
                           F.explode(_grouped_properties(F.col("r.properties"))).alias("g"))
-                  .select("uid", "policy_type", "role", "g.group_no",
+                  .select("uid", "policy_type", "priority", "replace_matched", "role", "g.group_no",
                           F.explode("g.entries").alias("e")))
     flat = matches.unionByName(properties)
     return (flat.withColumn("v", F.explode(_alternatives(F.col("e.leaf.value"))))
             .select("uid", "policy_type", "role", "group_no", F.col("e.name").alias("name"),
                     "v.lo", "v.hi", "v.text_value",
                     F.col("e.leaf.precedence").alias("precedence"),
-                    F.col("e.leaf.score").alias("score")))
+                    F.col("e.leaf.score").alias("score"), "priority", "replace_matched"))
 
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:

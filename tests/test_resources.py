@@ -112,6 +112,21 @@ def test_policy_scores(spark, rows, rules):
     assert rows(scores) == [("a", 25.0, 2), ("b", 10.0, 1), ("c", 0.0, 1), ("e", 10.0, 2)]
 
 
+def test_rules_without_condition_with_text_and_with_overlaps(spark, rows):
+    rules = spark.createDataFrame(
+        [("free", "property", 0, "rssi", -100.0, 0.0, None, 3.0),
+         ("text", "match", 0, "interface", None, None, "op0", None),
+         ("text", "property", 0, "interface", None, None, "op0", 2.0),
+         ("text", "property", 1, "interface", None, None, "op0", 2.0),
+         ("wide", "match", 0, "rssi", -128.0, -60.0, None, None), ("wide", "match", 0, "rssi", -90.0, 0.0, None, None),
+         ("wide", "property", 0, "rssi", -128.0, 0.0, None, 1.0)],
+        "uid string, role string, group_no int, name string, lo double, hi double, text_value string, score double")
+    states = spark.createDataFrame([(1, "op0", -80), (2, "op1", -120), (3, None, None)], "k int, interface string, rssi int")
+    got = rows(policy.rule_scores(states, rules, ["k"], ("interface", "rssi")))
+    assert got == [(1, "free", 3.0), (1, "text", 4.0), (1, "wide", 1.0), (2, "free", 0.0), (2, "wide", 1.0),
+                   (3, "free", 0.0)]
+
+
 def test_best_interface_breaks_ties_by_name(spark, rows):
     df = spark.createDataFrame([(1, "op0", 5.0), (1, "op1", 5.0), (1, "op2", 1.0)], "k int, if_name string, score double")
     assert rows(policy.best_interface(df, ["k"])) == [(1, "op1", 5.0)]
