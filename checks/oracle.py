@@ -6,13 +6,13 @@ from checks.roles import BATCH, EXPERIMENTS, PROBE_EVENTS, STATE_EVENTS
 
 
 def rnd(expr: str, digits: int) -> str:
-    """Half away from zero; a value just below a tie counts as the tie. Never -0.0."""
-    scale = f"{10 ** digits}::DOUBLE"
+    """Half away from zero, on the decimal digits that a double is written with. Never -0.0."""
+    return f"(CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE) + 0::DOUBLE)"
 
-    def up(x: str) -> str:
-        return f"floor({x} * {scale} + 0.5000001::DOUBLE) / {scale}"
 
-    return f"(CASE WHEN {expr} >= 0 THEN {up(expr)} ELSE 0::DOUBLE - {up(f'(-{expr})')} END)"
+def mean(expr: str) -> str:
+    """Mean of times over an exact sum."""
+    return f"(CAST(sum(CAST({expr} AS DECIMAL(28, 9))) AS DOUBLE) / nullif(count({expr}), 0))"
 
 
 def _quoted(names) -> str:
@@ -44,7 +44,7 @@ def _summary(view: str, kind: str) -> str:
         if kind == "ping":
             echo = f"{arm} AND ping_type = 'ECHO'"
             cols += [f"sum(CASE WHEN {echo} THEN 1 END) AS cnt_rtt{s}",
-                     f"avg(CASE WHEN {echo} THEN rtt END) AS rtt{s}"]
+                     f"{mean(f'CASE WHEN {echo} THEN rtt END')} AS rtt{s}"]
         else:
             cols += [f"sum(CASE WHEN {arm} THEN 1 END) AS cnt_dwnl{s}",
                      f"sum(CASE WHEN {arm} THEN dwnl_size END) AS dwnl_size{s}",
@@ -53,8 +53,8 @@ def _summary(view: str, kind: str) -> str:
         cols.append(f"sum(CASE WHEN {first} THEN 1 END) AS cnt{s}")
         cols += [f"sum(CASE WHEN {first} AND {test} THEN 1 ELSE 0 END) AS cnt_{name}{s}"
                  for name, test in COUNTS]
-        cols.append(f"avg(CASE WHEN {first} THEN {'rtt' if kind == 'ping' else 'init_time'} END) "
-                    f"AS init_time{s}")
+        start = "rtt" if kind == "ping" else "init_time"
+        cols.append(f"{mean(f'CASE WHEN {first} THEN {start} END')} AS init_time{s}")
     return f"SELECT {', '.join(cols)} FROM {view} GROUP BY sched_id"
 
 
@@ -266,7 +266,7 @@ def _schedule_shares(names) -> str:
 def _rtt_by(*keys: str) -> str:
     names = ", ".join(f"t.{k}" for k in keys)
     ints, texts = ("cnt oper", "") if keys == ("oper",) else ("cnt", " ".join(keys))
-    return q(f"SELECT {names}, count(*) AS cnt, {rnd('(avg(t.rtt) * 1000)', 1)} AS rtt_ms "
+    return q(f"SELECT {names}, count(*) AS cnt, {rnd(f"({mean('t.rtt')} * 1000)", 1)} AS rtt_ms "
              f"FROM {_batch('vping')} AND t.ping_type = 'ECHO' GROUP BY {names}", ints, "rtt_ms", texts)
 
 
@@ -327,10 +327,12 @@ def _fixed(x: str, digits: int) -> str:
 
 
 RULE_SCORES = """SELECT event_id, uid, sum(CASE WHEN role = 'property' THEN score ELSE 0 END) AS score
-    FROM (SELECT event_id, unnest(['device_mode', 'rssi', 'lte_rsrp', 'lte_rsrq', 'dlb_quality']) AS name,
-          unnest([device_mode, rssi, lte_rsrp, lte_rsrq, dlb_quality]) AS reading FROM candidates) c
-    JOIN rules r ON c.name = r.name AND c.reading BETWEEN r.lo AND r.hi
-    GROUP BY event_id, uid HAVING sum(CASE WHEN role = 'match' THEN 1 ELSE 0 END) =
+    FROM (SELECT event_id, unnest(['', 'device_mode', 'rssi', 'lte_rsrp', 'lte_rsrq', 'dlb_quality']) AS name,
+          unnest([0, device_mode, rssi, lte_rsrp, lte_rsrq, dlb_quality]) AS reading FROM candidates) c
+    JOIN (SELECT * FROM rules UNION ALL SELECT uid, 'always', '', 0, 0, NULL FROM rules GROUP BY uid
+          HAVING count(*) FILTER (WHERE role = 'match') = 0) r
+      ON c.name = r.name AND c.reading BETWEEN r.lo AND r.hi
+    GROUP BY event_id, uid HAVING count(DISTINCT CASE WHEN role = 'match' THEN r.name END) =
         (SELECT count(DISTINCT n.name) FROM rules n WHERE n.role = 'match' AND n.uid = r.uid)"""
 
 
@@ -403,9 +405,9 @@ def sql() -> dict[str, str]:
                     "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1", "l_orderkey l_linenumber cnt")
 
     radio = """SELECT seq_no, iif_name AS if_name, dev_mode AS mode,
-        CASE WHEN dev_mode = 5 AND rssi >= -128 THEN rssi END AS lte_rssi,
+        CASE WHEN dev_mode = 5 THEN ((rssi + 128) & 255) - 128 END AS lte_rssi,
         CASE WHEN dev_mode = 5 THEN lte_rsrp END AS lte_rsrp,
-        CASE WHEN dev_mode <> 5 AND rssi >= -128 THEN rssi END AS rssi"""
+        CASE WHEN dev_mode <> 5 THEN ((rssi + 128) & 255) - 128 END AS rssi"""
     out["o_p14"] = q(f"{radio} FROM states", "seq_no mode lte_rssi lte_rsrp rssi", "", "if_name")
     out["o_t1"] = out["o_k6"] = q(f"{radio}, iif_name || '_metadata_exporter' AS uid FROM states",
                                   "seq_no mode lte_rssi lte_rsrp rssi", "", "if_name uid")
@@ -416,7 +418,7 @@ def sql() -> dict[str, str]:
         s.s_suppkey % 3 AS quality FROM states t LEFT JOIN supplier s
         ON t.sched_id = s.s_suppkey""", "seq_no conn quality", "", "if_name")
     out["o_p11"] = q("""SELECT seq_no, CASE WHEN k % 10 <> 0 THEN rssi END AS rssi_loaded,
-        CASE WHEN k % 10 = 0 THEN 0 WHEN rssi >= -128 THEN rssi END AS rssi_streamed,
+        CASE WHEN k % 10 = 0 THEN 0 ELSE ((rssi + 128) & 255) - 128 END AS rssi_streamed,
         CASE WHEN k % 4 <> 0 THEN 'net ' || k END AS op_loaded,
         CASE WHEN k % 4 <> 0 THEN 'net ' || k ELSE '' END AS op_streamed FROM states""",
                      "seq_no rssi_loaded rssi_streamed", "", "op_loaded op_streamed")
@@ -537,7 +539,7 @@ def sql() -> dict[str, str]:
                      "good_pct fair_pct poor_pct")
     out["o_a15"] = q(f"SELECT exp_id, count(*) AS cnt, {_bucket_columns(SHARE)} FROM tool GROUP BY exp_id",
                      "exp_id cnt", " ".join(n for n, _, _ in BUCKETS))
-    out["o_a16"] = q(f"SELECT if_name, device_mode, count(*) AS cnt, {rnd('(avg(rtt) * 1000)', 1)} AS rtt_ms "
+    out["o_a16"] = q(f"SELECT if_name, device_mode, count(*) AS cnt, {rnd(f"({mean('rtt')} * 1000)", 1)} AS rtt_ms "
                      "FROM vping GROUP BY if_name, device_mode", "cnt", "rtt_ms", "if_name device_mode")
     tool_ints = "exp_id sched_id node_id " + " ".join(TOOL_COUNTS)
     out["o_a17"] = q("SELECT * FROM tool", tool_ints, "init_time init_time_t")
@@ -580,7 +582,7 @@ def sql() -> dict[str, str]:
         WHEN 1 THEN 't-tcp-ping' WHEN 2 THEN 'dwnl-test' WHEN 3 THEN 't-dwnl-test' ELSE '(no-app)' END AS app_name
         FROM processes GROUP BY recording, seen_at""", "recording seen_at", "", "app_name")
     out["o_o1"] = q(f"""SELECT oper, cnt, rtt_ms, row_number() OVER (ORDER BY rtt_ms ASC NULLS FIRST, oper) AS place
-        FROM (SELECT oper, count(*) AS cnt, {rnd('(avg(rtt) * 1000)', 1)} AS rtt_ms FROM probes
+        FROM (SELECT oper, count(*) AS cnt, {rnd(f"({mean('rtt')} * 1000)", 1)} AS rtt_ms FROM probes
         WHERE ping_type = 'ECHO' GROUP BY oper)""", "oper cnt place", "rtt_ms")
     speed = "(sum(dwnl_size)::DOUBLE / nullif(sum(total_time - init_time), 0) / 1048576)"
     out["o_o2"] = q(f"""SELECT oper, cnt, speed_mbs, row_number() OVER (ORDER BY speed_mbs DESC NULLS LAST, oper)

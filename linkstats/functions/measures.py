@@ -152,15 +152,20 @@ def to_percent(fraction: ColumnOrName) -> Column:
     return _col(fraction) * F.lit(100.0)
 
 
-# Double sums differ in their last bits with the order of addition. Rounding this
-# many more digits first brings a value just below a tie back to the tie, so a
-# rounded report does not depend on how the rows were partitioned.
-GUARD_DIGITS = 6
+# Times have nine decimals at most. Sums of decimals do not depend on the order of addition,
+# so neither do means, nor what they are rounded to.
+TIME = "decimal(28,9)"
+
+
+def exact_mean(value: ColumnOrName) -> Column:
+    """Mean of times over an exact sum; NULL without any value."""
+    value = _col(value)
+    return F.try_divide(F.sum(value.cast(TIME)).cast("double"), F.count(value).cast("double"))
 
 
 def round_to(value: ColumnOrName, digits: int) -> Column:
     """Round half away from zero to ``digits`` decimals."""
-    return F.round(F.round(_col(value), digits + GUARD_DIGITS), digits)
+    return F.round(_col(value), digits)
 
 
 def ratio(top: ColumnOrName, bottom: ColumnOrName) -> Column:

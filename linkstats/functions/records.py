@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from linkstats.functions.measures import LTE_CODE, ColumnOrName, _col
 
 
-def narrow(value: ColumnOrName, bits: int, signed: bool = True, mode: str = "null") -> Column:
+def narrow(value: ColumnOrName, bits: int, signed: bool = True, mode: str = "wrap") -> Column:
     """Fit an integer into a C width.
 
-    ``wrap`` keeps the low bits as C does, ``null`` drops what does not fit and
+    ``wrap`` keeps the low bits as C does; ``null`` drops what does not fit and
     ``fail`` raises.
     """
     value = _col(value).cast("bigint")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkstats.functions.measures import ratio, round_to, to_mib, to_ms, to_percent
+from linkstats.functions.measures import exact_mean, ratio, round_to, to_mib, to_ms, to_percent
 
 # Inclusive buckets of a share, by column name.
 SHARE_BUCKETS = {
@@ -71,7 +71,7 @@ def share_histogram(df: DataFrame, keys: Sequence[str], share: Column,
 def rtt_breakdown(pings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number of pings and mean round trip by one or more categories."""
     return pings.groupBy(*keys).agg(F.count("*").alias("cnt"),
-                                    round_to(to_ms(F.avg("rtt")), 1).alias("rtt_ms"))
+                                    round_to(to_ms(exact_mean("rtt")), 1).alias("rtt_ms"))
 
 
 def speed_breakdown(downloads: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkstats.functions.measures import Arms, ratio, stored_gain
+from linkstats.functions.measures import Arms, exact_mean, ratio, stored_gain
 
 INTERFACES = {"op0": "op0", "op1": "op1"}
 MODES = {"lte": "LTE", "3g": "3G", "2g": "2G"}
@@ -36,7 +36,7 @@ def count_or_zero(condition: Column) -> Column:
 
 
 def mean_where(condition: Column, value: Column | str) -> Column:
-    return F.avg(F.when(condition, F.col(value) if isinstance(value, str) else value))
+    return exact_mean(F.when(condition, F.col(value) if isinstance(value, str) else value))
 
 
 def sum_where(condition: Column, value: Column | str) -> Column:

@@ -46,7 +46,7 @@ def _parsed() -> Column:
 
 
 def parse_messages(split: DataFrame, interface_key: str = "InterfaceName",
-                   narrowing: str = "null") -> DataFrame:
+                   narrowing: str = "wrap") -> DataFrame:
     """Typed message columns under the stream's defaults, plus ``rejected``.
 
     A missing number is 0 and missing text is empty. ``rejected`` names what is

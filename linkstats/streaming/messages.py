@@ -13,7 +13,7 @@ from linkstats.sources.topic import accepted, parse_messages, rejects, split_mes
 
 
 def parsed_messages(messages: DataFrame, topic: str = "", interface_key: str = "InterfaceName",
-                    narrowing: str = "null") -> DataFrame:
+                    narrowing: str = "wrap") -> DataFrame:
     return parse_messages(split_messages(messages, topic), interface_key, narrowing)
 
 
@@ -52,7 +52,7 @@ def to_kafka(servers: str, topic: str) -> Delivery:
 
 
 def start_records(messages: DataFrame, deliver: Delivery | None, rejected: Delivery, checkpoint: str,
-                  topic: str = "", interface_key: str = "InterfaceName", narrowing: str = "null",
+                  topic: str = "", interface_key: str = "InterfaceName", narrowing: str = "wrap",
                   load_quality: Callable[[], DataFrame] | None = None,
                   layout: RecordLayout = RecordLayout(), trigger: dict | None = None) -> StreamingQuery:
     """Run the message path: good messages become records, bad ones are set aside.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -66,11 +66,22 @@ def start_latest(rows: DataFrame, snapshot: Snapshot, keys: Sequence[str], order
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
 
 
+def _beside_open(batch: DataFrame, open_rows: DataFrame, keys: Sequence[str], ts: str) -> tuple[DataFrame, Column]:
+    opened = open_rows.select(*keys, F.col(ts).alias("_open_ts"))
+    on_time = F.col("_open_ts").isNull() | (F.col(ts) >= F.col("_open_ts"))
+    return batch.join(opened, list(keys), "left"), F.coalesce(on_time, F.lit(False))
+
+
 def without_late(batch: DataFrame, open_rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Rows not older than the open row of their key; older ones came too late."""
-    opened = open_rows.select(*keys, F.col(ts).alias("_open_ts"))
-    joined = batch.join(opened, list(keys), "left")
-    return joined.where(F.col("_open_ts").isNull() | (F.col(ts) >= F.col("_open_ts"))).drop("_open_ts")
+    joined, on_time = _beside_open(batch, open_rows, keys, ts)
+    return joined.where(on_time).drop("_open_ts")
+
+
+def late_rows(batch: DataFrame, open_rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows older than the open row of their key, or without a time."""
+    joined, on_time = _beside_open(batch, open_rows, keys, ts)
+    return joined.where(~on_time).drop("_open_ts")
 
 
 def start_spans(rows: DataFrame, open_rows: Snapshot, output: str, keys: Sequence[str], ts: str,
@@ -78,11 +89,15 @@ def start_spans(rows: DataFrame, open_rows: Snapshot, output: str, keys: Sequenc
                 seconds: int = SLICE_SECONDS) -> StreamingQuery:
     """Emit each row with its span as soon as the next row of its key arrives.
 
-    The last row of a key stays open in the snapshot. Rows older than the open
-    row of their key are dropped. Closed rows of a batch go to its own folder.
+    The last row of a key stays open in the snapshot. Rows older than the open row
+    of their key come too late for a span; they go to ``<output>-late``, where a
+    batch recomputation finds them. Closed and late rows of a batch go to its own
+    folder.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         waiting = open_rows.before(batch.sparkSession, batch_id)
+        (late_rows(batch.select(*open_rows.schema.names), waiting, keys, ts)
+         .write.mode("overwrite").parquet(f"{output}-late/batch={batch_id}"))
         fresh = without_late(batch.select(*open_rows.schema.names), waiting, keys, ts)
         linked = with_neighbour(waiting.unionByName(fresh), keys, ts, {"_next": micros(ts)}, "next",
                                 tiebreak, seconds).persist()

@@ -44,7 +44,7 @@ def test_messages_become_records_and_bad_ones_are_set_aside(spark, inbox):
     assert lte["properties"]["is_wired"] == {"value": False, "precedence": 2}
     assert lte["properties"]["cid"]["value"] == 0            # a missing number is 0
     assert "rssi" not in lte["properties"] and "lte_rssi" not in umts["properties"]
-    assert "value" not in umts["properties"]["rssi"]         # -200 does not fit into 8 bits
+    assert umts["properties"]["rssi"]["value"] == 56         # -200 in 8 bits keeps its low bits
     assert "dlb_conn" not in lte["properties"]
     bad = {r.value: r.rejected for r in spark.read.parquet(str(inbox / "bad")).collect()}
     assert bad == {BAD[0]: "no space", BAD[1]: "bad json"}
@@ -131,11 +131,12 @@ def test_a_replayed_batch_changes_nothing(spark, rows):
     assert rows(snapshot.latest(spark), "iif_name", "seq_no") == [("a", 4), ("b", 3)]
 
 
-def test_late_states_are_dropped(spark, rows):
+def test_late_states_are_set_apart(spark, rows):
     batch = spark.createDataFrame([state("a", 1, 1), state("a", 5, 2), state("z", 0, 3)], STATE)
     opened = spark.createDataFrame([state("a", 5, 0)], STATE)
     kept = snapshots.without_late(batch, opened, ["sched_id", "iif_name"], "ts")
     assert rows(kept, "seq_no") == [(2,), (3,)]
+    assert rows(snapshots.late_rows(batch, opened, ["sched_id", "iif_name"], "ts"), "seq_no") == [(1,)]
 
 
 def test_window_means_wait_for_the_watermark(spark, rows):
