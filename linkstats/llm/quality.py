@@ -97,7 +97,10 @@ def vote_counts(docs: DataFrame) -> dict[str, int]:
 
 
 def posteriors(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
-    """Probability of good for every pattern, by expectation maximisation from the majority's vote."""
+    """Probability of good for every pattern, by expectation maximisation.
+
+    It starts from a vote in which bad weighs six times as much as good, because labellers call a text
+    bad only on an extreme, and texts are bad in ways that few labellers see."""
     if not counts:
         return {}
     patterns = sorted(counts)
@@ -105,7 +108,7 @@ def posteriors(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
     is_good = np.array([[c == GOOD for c in p] for p in patterns], float)
     is_bad = np.array([[c == BAD for c in p] for p in patterns], float)
     total = is_good.sum(1) + is_bad.sum(1)
-    p = np.clip(0.5 + 0.9 * (is_good.sum(1) - 1.5 * is_bad.sum(1)) / np.maximum(total, 1), 0.02, 0.98)
+    p = np.clip(0.5 + 0.9 * (is_good.sum(1) - 6 * is_bad.sum(1)) / np.maximum(total, 1), 0.02, 0.98)
     for _ in range(rounds):
         share = np.clip((n @ p + 1) / (n.sum() + 2), 1e-6, 1 - 1e-6)
         # How often a labeller that speaks votes good, on good and on bad texts; two made-up votes each,

@@ -72,7 +72,7 @@ def fold(text: str | None) -> str:
     words = _WORD.findall(text)
     if _SIGNED.search(text):
         words = [_plain_word(w) for w in words]
-    return f" {' '.join(words)} "
+    return f" {' '.join(words)} " if words else " "
 
 
 @dataclass(frozen=True)
