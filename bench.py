@@ -60,8 +60,9 @@ def main() -> None:
     spark = session()
     queries = all_queries()
     steps = {}
-    # Reports from raw facts: as-of join, spans and resource samples in full.
-    for name in ("q15", "q8", "r1", "o_j5", "o_w1"):
+    # From raw facts: as-of join, spans, resource samples, the checked store, rules, flows
+    # and one stream in full.
+    for name in ("q15", "q8", "r1", "o_j5", "o_w1", "o_k1", "o_j9", "o_a21", "o_t1"):
         steps[f"{name}_from_raw"] = lambda name=name: consume(queries[name](spark, SF_DIR))
 
     raw = roles.campaign(spark, SF_DIR)

@@ -417,6 +417,8 @@ def sql() -> dict[str, str]:
     out["o_j7"] = q("""SELECT seq_no, iif_name AS if_name, s.s_nationkey AS conn,
         s.s_suppkey % 3 AS quality FROM states t LEFT JOIN supplier s
         ON t.sched_id = s.s_suppkey""", "seq_no conn quality", "", "if_name")
+    out["o_t3"] = q("""SELECT seq_no, s.s_nationkey AS conn, (s.s_suppkey + seq_no % 2) % 3 AS quality
+        FROM states t LEFT JOIN supplier s ON t.sched_id = s.s_suppkey""", "seq_no conn quality")
     out["o_p11"] = q("""SELECT seq_no, CASE WHEN k % 10 <> 0 THEN rssi END AS rssi_loaded,
         CASE WHEN k % 10 = 0 THEN 0 ELSE ((rssi + 128) & 255) - 128 END AS rssi_streamed,
         CASE WHEN k % 4 <> 0 THEN 'net ' || k END AS op_loaded,

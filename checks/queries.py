@@ -423,6 +423,31 @@ def quality_stream(spark, sf):
                        _property("dlb_quality").cast("int").alias("quality"))
 
 
+@query("o_t3")
+def refreshed_quality_stream(spark, sf):
+    """Two runs of one stream; the lookup has changed by the second."""
+    folder = scratch_dir(spark, "refresh")
+    rows = roles.states(spark, sf)
+    for version in (0, 1):
+        sent = rows.where(F.col("seq_no") % 2 == version).select(
+            F.concat(F.lit("META.MODEM "), F.to_json(F.struct(
+                F.concat("sched_id", F.lit(":"), "iif_name").alias("InterfaceName"),
+                F.col("seq_no").alias("SequenceNumber"), F.col("dev_mode").alias("DeviceMode")))).alias("value"))
+        sent.write.mode("append").text(f"{folder}/in")
+
+        def load(version=version) -> DataFrame:
+            s = roles.table(spark, sf, "supplier")
+            return s.select(F.explode(F.array(*[F.concat(F.col("s_suppkey"), F.lit(f":op{i}")) for i in range(3)]))
+                            .alias("name"), F.col("s_nationkey").alias("conn"),
+                            ((F.col("s_suppkey") + version) % 3).alias("quality"))
+
+        messages.start_records(topic.follow_files(spark, f"{folder}/in"), messages.to_folder(f"{folder}/records"),
+                               messages.to_folder(f"{folder}/rejected"), f"{folder}/checkpoint", "META.",
+                               load_quality=load, trigger={"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{folder}/records").select(
+        "seq_no", _property("dlb_conn").cast("int").alias("conn"), _property("dlb_quality").cast("int").alias("quality"))
+
+
 @query("o_t4")
 def span_stream(spark, sf):
     rows = roles.states(spark, sf).select("sched_id", "iif_name", "ts", "seq_no")

@@ -62,14 +62,18 @@ def start_records(messages: DataFrame, deliver: Delivery | None, rejected: Deliv
     are dropped.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        parsed = parsed_messages(batch, topic, interface_key, narrowing)
-        rejected(rejects(parsed), batch_id)
-        if deliver is None:
-            return
-        good = accepted(parsed)
-        if load_quality is not None:
-            good = with_link_quality(good, load_quality())
-        deliver(records(good, layout), batch_id)
+        # Both outputs read the batch; it is parsed once for them.
+        parsed = parsed_messages(batch, topic, interface_key, narrowing).persist()
+        try:
+            rejected(rejects(parsed), batch_id)
+            if deliver is None:
+                return
+            good = accepted(parsed)
+            if load_quality is not None:
+                good = with_link_quality(good, load_quality())
+            deliver(records(good, layout), batch_id)
+        finally:
+            parsed.unpersist()
 
     return (messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
