@@ -592,7 +592,6 @@ def sql() -> dict[str, str]:
                     "oper cnt place", "speed_mbs")
     out["o_t5"] = q("""SELECT epoch_us(w) AS window_start, app_name, count(cpu) AS cpu_cnt, avg(cpu) AS cpu_avr FROM (
         SELECT time_bucket(INTERVAL '1 hour', ts) AS w, app_name, cpu FROM samples)
-        WHERE w + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM samples)
         GROUP BY w, app_name""", "window_start cpu_cnt", "cpu_avr", "app_name")
 
     often, never = f"{SHARE} > 0.2::DOUBLE", f"{SHARE} = 0"

@@ -471,7 +471,10 @@ def window_stream(spark, sf):
     means = windows.window_means(stream, ["app_name"], ["cpu"], width="1 hour", delay="10 minutes")
     windows.start_window_means(means, f"{folder}/out", f"{folder}/checkpoint",
                                {"availableNow": True}).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("window_end")
+    written = spark.read.parquet(f"{folder}/out")
+    whole = windows.window_means(spark.read.schema(rows.schema).parquet(f"{folder}/in"), ["app_name"], ["cpu"],
+                                 width="1 hour", delay="10 minutes")
+    return written.unionByName(windows.remaining_windows(whole, written, ["app_name"])).drop("window_end")
 
 
 # --- projections -----------------------------------------------------------------------------
@@ -932,7 +935,7 @@ def consecutive(spark, sf):
 def iterations(spark, sf):
     p = roles.probes(spark, sf).select("event_id", "sched_id", "run_tool", "run_dtm")
     numbered = slices.with_row_number(p, ["sched_id", "run_tool"], "run_dtm", "n", ["event_id"])
-    return numbered.select("event_id", "n", F.when(F.col("n") == 1, "CONN").otherwise("ECHO").alias("kind"))
+    return numbered.select("event_id", "n", slices.probe_kind("n").alias("kind"))
 
 
 @query("o_o1")

@@ -83,6 +83,15 @@ def with_row_number(df: DataFrame, keys: Sequence[str], ts: str, name: str,
             .select(*df.columns, (F.col("_position") - 1 + F.col("_offset")).cast("int").alias(name)))
 
 
+def probe_kind(number: str, mode: str = "echo") -> Column:
+    """Kind of a run's n-th probe: the first connects; the others echo, or connect again in connect mode."""
+    if mode == "connect":
+        return F.when(F.col(number).isNotNull(), "CONN")
+    if mode != "echo":
+        raise ValueError(f"unknown probe mode: {mode}")
+    return F.when(F.col(number) == 1, "CONN").when(F.col(number) > 1, "ECHO")
+
+
 def trim_ends(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Drop the first and the last row of every recording.
 

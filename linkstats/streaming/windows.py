@@ -25,3 +25,16 @@ def start_window_means(means: DataFrame, output: str, checkpoint: str,
     return (means.writeStream.outputMode("append").format("parquet").option("path", output)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+
+
+def remaining_windows(means: DataFrame, written: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Windows of a bounded input that its stream did not write.
+
+    A stream writes a window only when the watermark has passed its end, so it stops
+    before the last ones. ``means`` is ``window_means`` over the input read as a table.
+    """
+    done = written.select(F.col("window_start").alias("_start"), *[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.col("window_start") == F.col("_start")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return means.join(done, same, "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linkstats.operators.asof import asof_join
 from linkstats.operators.enrich import with_span
+from linkstats.operators import slices
 from linkstats.operators.slices import (trim_ends, with_neighbour, with_row_number,
                                         within_time_limit)
 
@@ -134,3 +135,11 @@ def test_copies_of_a_state_count_once(spark):
     states = [("a", 10, 1)] * 500 + [("a", 10, 2)] + [("b", 3, 4)] * 3
     got = run_asof(spark, [("a", 10), ("a", 200), ("b", 3)], states, 60)
     assert got == {0: (at(10), 2), 1: (at(10), 2), 2: (at(3), 4)}
+
+
+def test_probe_kinds(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "n int")
+    got = df.select(slices.probe_kind("n").alias("a"), slices.probe_kind("n", "connect").alias("b")).collect()
+    assert [tuple(r) for r in got] == [("CONN", "CONN"), ("ECHO", "CONN"), (None, None)]
+    with pytest.raises(ValueError, match="unknown probe mode"):
+        slices.probe_kind("n", "other")
