@@ -22,10 +22,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkstats.llm.common import arrow_batches, schema_of
+from linkstats.llm.common import arrow_batches, schema_of, stage
 
 BUCKETS = 1 << 12
 GOOD, BAD, SILENT = "1", "0", "-"
@@ -82,18 +83,21 @@ def votes(text: str | None) -> str:
         _vote(stutter < 3, stutter >= 8) if n >= 12 else SILENT))
 
 
-def vote_counts(docs: DataFrame) -> dict[str, int]:
-    """Number of documents for every pattern of votes."""
-    schema = schema_of("pattern string, n long")
+def with_votes(docs: DataFrame) -> DataFrame:
+    """text and its pattern of votes."""
+    schema = schema_of("text string, pattern string")
 
     def rows(batches: Iterator) -> Iterator:
-        counts: Counter = Counter()
         for batch in batches:
-            counts.update(votes(t.as_py()) for t in batch.column(0))
-        yield from arrow_batches(schema, counts.items())
+            patterns = pa.array([votes(t.as_py()) for t in batch.column(0)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), patterns], names=["text", "pattern"])
+
+    return docs.select("text").mapInArrow(rows, schema)
 
-    found = docs.select("text").mapInArrow(rows, schema).groupBy("pattern").agg(F.sum("n")).collect()
-    return {r[0]: int(r[1]) for r in found}
+
+def vote_counts(marked: DataFrame) -> dict[str, int]:
+    """Number of documents for every pattern of votes."""
+    return {r["pattern"]: r["count"] for r in marked.groupBy("pattern").count().collect()}
 
 
 def posteriors(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
@@ -147,9 +151,9 @@ def _improve(weights: np.ndarray, x: np.ndarray, y: np.ndarray, squares: np.ndar
     weights -= rate * gradient / np.sqrt(squares + 1e-10)
 
 
-def train_scorer(docs: DataFrame, labels: dict[str, float], rounds: int = 2, batch_size: int = 128,
+def train_scorer(marked: DataFrame, labels: dict[str, float], rounds: int = 2, batch_size: int = 128,
                  rate: float = 0.2) -> np.ndarray:
-    """Weights of the scorer, trained on every document with its posterior as label."""
+    """Weights of the scorer, trained on every text with the posterior of its votes as label."""
     weights = np.zeros(BUCKETS + 1)
     schema = schema_of("bucket int, total double, n long")
     for _ in range(rounds):
@@ -160,7 +164,7 @@ def train_scorer(docs: DataFrame, labels: dict[str, float], rounds: int = 2, bat
             for batch in batches:
                 for at in range(0, batch.num_rows, batch_size):
                     texts = batch.column(0).slice(at, batch_size).to_pylist()
-                    y = np.array([labels[votes(t)] for t in texts])
+                    y = np.array([labels[v] for v in batch.column(1).slice(at, batch_size).to_pylist()])
                     x = features(texts)
                     for _ in range(3):
                         _improve(own, x, y, squares, rate)
@@ -168,7 +172,7 @@ def train_scorer(docs: DataFrame, labels: dict[str, float], rounds: int = 2, bat
             if n:
                 yield from arrow_batches(schema, ((j, float(own[j] * n), n) for j in range(len(own))), 65536)
 
-        for bucket, total, n in (docs.select("text").mapInArrow(rows, schema).groupBy("bucket")
+        for bucket, total, n in (marked.mapInArrow(rows, schema).groupBy("bucket")
                                  .agg(F.sum("total"), F.sum("n")).collect()):  # one row per bucket
             weights = weights.copy() if weights is start else weights
             weights[bucket] = total / n
@@ -194,4 +198,6 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    return score_quality(docs, train_scorer(docs, posteriors(vote_counts(docs))))
+    """Votes are stored beside the texts, as every round of training reads them again."""
+    marked = stage(with_votes(docs), "quality-votes")
+    return score_quality(docs, train_scorer(marked, posteriors(vote_counts(marked))))

@@ -2,7 +2,7 @@
 
 import random
 
-from linkstats.llm.quality import BAD, GOOD, SILENT, posteriors, quality, vote_counts, votes
+from linkstats.llm.quality import BAD, GOOD, SILENT, posteriors, quality, vote_counts, votes, with_votes
 from tests.llm.helpers import prose
 
 DOCS = "doc_id long, text string, score string"
@@ -33,7 +33,7 @@ def test_scores_rank_good_above_bad_and_edges(spark):
         docs.append((i, text, "clash"))
     docs += [(900, None, ""), (901, "", ""), (902, prose(rng, 20_000), ""), (3, docs[3][1], "again"), (None, "a b", "")]
     df = spark.createDataFrame(docs, DOCS)
-    assert sum(vote_counts(df).values()) == len(docs)
+    assert sum(vote_counts(with_votes(df)).values()) == len(docs)
     got = quality(df).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
     clear = [r for r in got if r.doc_id is not None and r.doc_id < 240]
