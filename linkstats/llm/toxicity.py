@@ -35,6 +35,7 @@ from linkstats.llm.common import arrow_batches, held_out, schema_of, stage
 LOOKALIKES = dict(zip("абвгеёзіијкмнопрсѕтухԁьαβγεηικνορτυχω",
                       "abbree3iujkmhonpcstyxdbabyenikvoptuxw"))
 SIGNS = str.maketrans("0134578@$!|", "oieastbasii")
+GRAMS_HELD = 150_000
 EXCEPTIONS = ("class clown", "clown fish", "trash bag", "trash can", "white trash bag")
 
 _WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!|]+[^\W_]+)*")
@@ -117,11 +118,20 @@ def _grams(folded: str) -> set[str]:
 
 
 def _gram_counts(batches: Iterator, schema) -> Iterator:
+    """Texts that hold each gram; counts are passed on whenever a task holds ``GRAMS_HELD`` of them."""
     toxic, clean = Counter(), Counter()
+
+    def held():
+        yield from arrow_batches(schema, ((g, toxic[g], clean[g]) for g in toxic.keys() | clean.keys()), 16384)
+        toxic.clear()
+        clean.clear()
+
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if label else clean).update(_grams(fold(text)))
-    yield from arrow_batches(schema, ((g, toxic[g], clean[g]) for g in toxic.keys() | clean.keys()), 65536)
+        for text, label in zip(batch.column(0), batch.column(1)):
+            (toxic if label.as_py() else clean).update(_grams(fold(text.as_py())))
+            if len(toxic) + len(clean) >= GRAMS_HELD:
+                yield from held()
+    yield from held()
 
 
 def _chosen(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int) -> list[str]:
