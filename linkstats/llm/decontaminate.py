@@ -8,6 +8,11 @@ every item, in that space. Candidates are decided by the longest common subseque
 weighted by inverse document frequency, and by the share of the item's answer (its last sentence) that
 the passage has, so reworded and interrupted copies count as well as literal ones.
 
+A short item fills little of a passage, so its cosine may be low however much of it is there. The gate
+therefore also follows from the decision: a common subsequence of ``min_lcs`` needs words of that weight in
+the passage and an item's length around it, and all pairs that have them are candidates whatever their
+cosine. No pair that the decision accepts is left out; the rows are those of all pairs compared in full.
+
 The benchmark is taken in blocks of at most ``ITEMS_A_BLOCK`` items. An item block with its words, and
 the factors over those words, are all that goes to the tasks or the driver. A passage is ``2 * STRIDE``
 words; passages begin every ``STRIDE`` words, so whole texts are covered.
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from linkstats.llm.common import arrow_batches, schema_of, stage
 
 STRIDE, ITEMS_A_BLOCK, TOKENS_AT_ONCE, RAREST = 32, 20_000, 100_000, 8
+PASSAGES_AT_ONCE, ITEMS_AT_ONCE, HITS_AT_ONCE = 4096, 1024, 1 << 21
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]*\w[^.!?\n]*")
@@ -186,13 +192,82 @@ def _by_row(rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[int, np.nda
     yield from zip(rows[starts].tolist() if len(rows) else (), np.split(columns, starts[1:]) if len(rows) else ())
 
 
+@dataclass
+class _Holders:
+    """Items ``first``.. and the words that tell of them, as lists of items by word."""
+
+    first: int
+    starts: np.ndarray  # of each word's list
+    items: np.ndarray
+    shares: np.ndarray  # of the item's weight
+    needed: np.ndarray  # share that a match has in these words at least
+    reach: np.ndarray  # blocks around the passage that a match may touch
+
+
+def _holders(sequences: list[np.ndarray], weights: np.ndarray, counts: np.ndarray, min_lcs: float) -> list[_Holders]:
+    """An item's commonest words, up to half of ``min_lcs`` of its weight, are not looked up: a match has the
+    rest of ``min_lcs`` in its other words."""
+    out = []
+    for first in range(0, len(sequences), ITEMS_AT_ONCE):
+        terms, items, shares, needed, reach = [], [], [], [], []
+        for i, sequence in enumerate(sequences[first:first + ITEMS_AT_ONCE]):
+            own, times = np.unique(sequence, return_counts=True)
+            share = times * weights[own] / weights[sequence].sum()
+            order = np.argsort(-counts[own], kind="stable")
+            own, sums = own[order], np.cumsum(share[order])
+            skip = int(np.searchsorted(sums, min_lcs / 2, side="right"))
+            terms.append(own[skip:])
+            items.append(np.full(len(own) - skip, i))
+            shares.append(share[order][skip:])
+            needed.append(min_lcs - (sums[skip - 1] if skip else 0.0) - 1e-9)
+            reach.append(-(-len(sequence) // STRIDE))
+        term = np.concatenate(terms)
+        order = np.argsort(term, kind="stable")
+        out.append(_Holders(first, np.searchsorted(term[order], np.arange(len(weights) + 1)),
+                            np.concatenate(items)[order], np.concatenate(shares)[order], np.array(needed), np.array(reach)))
+    return out
+
+
+def _by_words(terms: np.ndarray, block: np.ndarray, begin: int, end: int,
+              holders: list[_Holders]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (passage - begin, item) that have the words for a match, of passages ``begin`` to ``end``.
+    A word in several blocks of the passage counts several times, so there may be more, but not fewer."""
+    passages, chosen = [], []
+    for held in holders:
+        far, n = int(held.reach.max()), len(held.needed)
+        low, high = begin - far, end + 1 + far
+        a, b = np.searchsorted(block, (low, high))
+        sizes = held.starts[terms[a:b] + 1] - held.starts[terms[a:b]]
+        found = np.flatnonzero(sizes)
+        term, at, sizes = terms[a:b][found], block[a:b][found] - low, sizes[found]
+        sums = np.zeros((high - low + 1) * n)
+        done = np.append(0, np.cumsum(sizes))
+        cut = 0
+        while cut < len(term):
+            stop = max(cut + 1, int(np.searchsorted(done, done[cut] + HITS_AT_ONCE, side="right")) - 1)
+            size = sizes[cut:stop]
+            entry = (np.arange(size.sum()) - np.repeat(done[cut:stop] - done[cut], size)
+                     + np.repeat(held.starts[term[cut:stop]], size))
+            sums += np.bincount((np.repeat(at[cut:stop], size) + 1) * n + held.items[entry], held.shares[entry], len(sums))
+            cut = stop
+        sums = np.cumsum(sums.reshape(-1, n), axis=0, out=sums.reshape(-1, n))
+        for reach in np.unique(held.reach):
+            own = np.flatnonzero(held.reach == reach)
+            p = np.arange(end - begin) + far
+            p, i = np.nonzero(sums[p + 2 + reach][:, own] - sums[p - reach][:, own] >= held.needed[own] - 1e-6)
+            passages.append(p)
+            chosen.append(own[i] + held.first)
+    return np.concatenate(passages), np.concatenate(chosen)
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, rank: int = 256, min_cosine: float = 0.4,
                  min_lcs: float = 0.6, min_answer: float = 0.5, min_words: int = 5,
                  max_share: float = 0.005) -> DataFrame:
     """doc_id, item_id, cosine, lcs and answer share of documents that hold a benchmark item.
 
     ``max_share``: words found in more than this share of all blocks of ``STRIDE`` words span no latent
-    direction, but for the ``RAREST`` rarest of every item. They count in the subsequence and the answer."""
+    direction, but for the ``RAREST`` rarest of every item. They count in the subsequence and the answer.
+    ``min_cosine``: pairs from it on are candidates by cosine, those below it by their words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull())
     blocks = max(1, -(-items.count() // ITEMS_A_BLOCK))
@@ -226,6 +301,7 @@ def _match_block(docs: DataFrame, items: _Items, rank: int, min_cosine: float, m
     weights = np.append(idf, 0.0)
     ids, sequences, answers = items.ids, items.words, items.answers
     totals = [weights[w].sum() for w in sequences]
+    holders = _holders(sequences, weights, counts, min_lcs)
     schema = schema_of(MATCHES)
 
     def decided(text: np.ndarray, begin: int, chosen: np.ndarray) -> Iterator[tuple]:
@@ -238,11 +314,13 @@ def _match_block(docs: DataFrame, items: _Items, rank: int, min_cosine: float, m
         for i in chosen:
             if weights[sequences[i]] @ has[sequences[i]] < min_lcs * totals[i]:
                 continue
-            answer = float(has[answers[i]].mean()) if len(answers[i]) else 1.0
-            if answer < min_answer:
-                continue
             span = len(sequences[i])
             passage = text[max(0, begin - span):begin + 2 * STRIDE + span].astype(np.int64)
+            if weights[sequences[i]] @ np.isin(sequences[i], passage) < min_lcs * totals[i]:
+                continue
+            answer = float(np.isin(answers[i], passage).mean()) if len(answers[i]) else 1.0
+            if answer < min_answer:
+                continue
             share = common_share(sequences[i], passage, weights)
             if share >= min_lcs:
                 yield i, share, answer
@@ -259,9 +337,13 @@ def _match_block(docs: DataFrame, items: _Items, rank: int, min_cosine: float, m
                 same = owner[1:] == owner[:-1]
                 near[:-1][same] += sums[1:][same]
                 near /= np.maximum(np.linalg.norm(near, axis=1), 1e-9)[:, None]
-                for at in range(0, len(near), 4096):
-                    cosines = near[at:at + 4096] @ asked.T
-                    for p, chosen in _by_row(*np.nonzero(cosines >= min_cosine)):
+                known = flat < n_terms
+                pairs = np.unique(block[known] * n_terms + flat[known])
+                for at in range(0, len(near), PASSAGES_AT_ONCE):
+                    cosines = near[at:at + PASSAGES_AT_ONCE] @ asked.T
+                    wanted = cosines >= min_cosine
+                    wanted[_by_words(pairs % n_terms, pairs // n_terms, at, at + len(cosines), holders)] = True
+                    for p, chosen in _by_row(*np.nonzero(wanted)):
                         text = owner[at + p]
                         begin = int(at + p - first[text]) * STRIDE
                         for i, share, answer in decided(texts[text], begin, chosen):

@@ -53,3 +53,39 @@ def test_common_share_is_the_heaviest_common_subsequence():
                     best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + weights[a[i - 1]] * (a[i - 1] == b[j - 1]))
         got = common_share(np.array(a), np.array(b, dtype=int), weights)
         assert abs(got - best[len(a), len(b)] / weights[a].sum()) < 1e-12
+
+
+def test_short_reworded_items_equal_all_pairs(spark):
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    zipf = [1 / (i + 3) for i in range(6000)]
+
+    def text(n):
+        return rng.choices(vocabulary, zipf, k=n)
+
+    items = [(i, text(8 + i % 13)) for i in range(60)]
+    docs = [(i, text(rng.randrange(60, 200))) for i in range(40)]
+    for i, words in items:
+        changed = set(rng.sample(range(len(words)), len(words) // 4))
+        docs.append((1000 + i, text(90) + [text(1)[0] if n in changed else w for n, w in enumerate(words)] + text(90)))
+    terms = {w: n for n, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
+    numbers = {d: np.array([terms.get(w, len(terms)) for w in words]) for d, words in docs}
+    blocks = [set(t[b:b + 32].tolist()) for t in numbers.values() for b in range(0, len(t), 32)]
+    counts = np.array([sum(n in b for b in blocks) for n in range(len(terms))])
+    weights = np.append(np.log((len(blocks) + 1) / (counts + 0.5)).clip(min=1e-3), 0.0)
+    want = {}
+    for i, words in items:
+        item = np.array([terms[w] for w in words])
+        for d, t in numbers.items():
+            for b in range(0, len(t), 32):
+                passage = t[max(0, b - len(item)):b + 64 + len(item)]
+                if weights[item] @ np.isin(item, passage) >= 0.6 * weights[item].sum() - 1e-9 and (
+                        np.isin(np.unique(item), passage).mean() >= 0.5):
+                    share = common_share(item, passage, weights)
+                    if share >= 0.6:
+                        want[d, i] = max(share, want.get((d, i), 0))
+    got = find_matches(spark.createDataFrame([(d, " ".join(w), "") for d, w in docs], DOCS),
+                       spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.lcs for r in got.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert sum((1000 + i, i) in want for i, _ in items) > 40
