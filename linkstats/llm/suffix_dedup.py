@@ -9,8 +9,13 @@ anchor hashes at equal offsets. The windows of one anchor form a segment. Spark
 hash and content: a content found twice is repeated as a whole, an anchor with one content and one place
 repeats nothing. What is left, one segment for each content of an anchor with several, is dealt to shards by
 anchor hash, and each shard sorts its suffixes by external induced sorting (``suffix_sort``): windows whose
-common prefix with a neighbour reaches ``depth`` are repeated. A shard aims at ``SHARD_BYTES``; one that is
-larger, as a single anchor's may be, is sorted on disk.
+common prefix with a neighbour reaches ``depth`` are repeated. A shard aims at ``SHARD_BYTES``.
+
+An anchor with more than ``SHARD_BYTES`` of different contents is split first. Equal windows have the anchor at
+the same offset, so its windows are dealt into ``SPLIT`` ranges of that offset, and the pieces of a range meet
+by the hash of all bytes that every window of the range holds, which reach into the context of the anchor.
+Pieces are grouped by content as segments are, and what is still too large is split again; in a range of one
+offset the bytes are the whole window, so no group stays large.
 
 Defined results: a null or empty text has no bytes and loses none; texts shorter than ``depth`` are kept.
 Rows repeated with the same id and text are copies of each other like any others. A text is read whole in
@@ -30,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 from linkstats.llm.common import arrow_batches, schema_of, stage
 from linkstats.llm.suffix_sort import Shard, Store
 
-GRAM, AT_ONCE, SHARD_BYTES, SORT_MEMORY = 192, 1 << 19, 4 << 20, 256 << 20
+GRAM, AT_ONCE, SHARD_BYTES, SORT_MEMORY, SPLIT = 192, 1 << 19, 4 << 20, 256 << 20, 4
 
 _SALTS = np.random.default_rng(4).integers(1, 1 << 63, size=256, dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -75,9 +80,9 @@ def least_positions(hashes: np.ndarray, window: int) -> np.ndarray:
     return (least & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def text_segments(data: bytes, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """First and last window start, anchor hash and content hash of a text's segments."""
-    firsts, lasts, anchors = [], [], []
+def text_segments(data: bytes, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """First and last window start, anchor hash, content hash and anchor position of a text's segments."""
+    firsts, lasts, anchors, places = [], [], [], []
     view = np.frombuffer(data, np.uint8)
     starts = len(data) - depth + 1
     for begin in range(0, max(0, starts), AT_ONCE):  # windows that start here
@@ -88,35 +93,36 @@ def text_segments(data: bytes, depth: int, gram: int) -> tuple[np.ndarray, np.nd
         firsts.append(cut + begin)
         lasts.append(np.append(cut[1:], len(at)) - 1 + begin)
         anchors.append(hashes[at[cut]])
+        places.append(at[cut] + begin)
     if not firsts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), []
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), [], np.empty(0, np.int64)
     first, last, anchor = map(np.concatenate, (firsts, lasts, anchors))
     content = [xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + depth).tolist())]
-    return first, last, anchor, content
+    return first, last, anchor, content, np.concatenate(places)
 
 
 def _segments(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    names = ["doc_id", "text_key", "first", "last", "anchor", "content"]
-    schema = schema_of("doc_id long, text_key long, first int, last int, anchor long, content long")
+    names = ["doc_id", "text_key", "first", "last", "anchor", "content", "place"]
+    schema = schema_of("doc_id long, text_key long, first int, last int, anchor long, content long, place int")
 
     def rows(batches: Iterator) -> Iterator:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
         held: list[list] = []
         size = 0
 
         def batch_of():
             columns = [np.concatenate(c) for c in zip(*held)]
             return pa.RecordBatch.from_arrays([pa.array(c, k, mask=m) for c, k, m in zip(
-                columns[:6], kinds, [columns[6], None, None, None, None, None])], names=names)
+                columns[:7], kinds, [columns[7], *[None] * 6])], names=names)
 
         for batch in batches:
             for doc, key, text in zip(*batch.columns):
                 doc, key, text = doc.as_py(), key.as_py(), text.as_py()
-                first, last, anchor, content = text_segments((text or "").encode(), depth, gram)
+                first, last, anchor, content, place = text_segments((text or "").encode(), depth, gram)
                 n = len(first)
                 if n:
                     held.append([np.full(n, doc or 0), np.full(n, key), first, last, anchor.view(np.int64),
-                                 np.array(content, np.uint64).view(np.int64), np.full(n, doc is None)])
+                                 np.array(content, np.uint64).view(np.int64), place, np.full(n, doc is None)])
                     size += n
                 if size >= 50_000:
                     yield batch_of()
@@ -127,11 +133,46 @@ def _segments(docs: DataFrame, depth: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(rows, schema)
 
 
+def _with_places(docs: DataFrame, segments: DataFrame, *names: str) -> DataFrame:
+    """doc_id, text_key, text and the list of a text's ``segments``."""
+    places = segments.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
+        F.collect_list(F.struct(*names)).alias("places"))
+    return docs.select("doc_id", "text_key", "text").join(
+        places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d"))
+        & (F.col("text_key") == F.col("k"))).select("doc_id", "text_key", "text", "places")
+
+
+def _pieces(docs: DataFrame, segments: DataFrame, depth: int) -> DataFrame:
+    """Segments by narrower ranges ``low`` to ``high`` of the anchor's offset in a window. ``anchor`` is the
+    hash of the bytes that all windows of the range hold."""
+    schema = schema_of("doc_id long, text_key long, first int, last int, anchor long, content long, place int, "
+                       "low int, high int")
+
+    def signed(value: int) -> int:
+        return value - (1 << 64) if value >> 63 else value
+
+    def cut(batches: Iterator) -> Iterator:
+        def each():
+            for batch in batches:
+                for doc, key, text, own in zip(*batch.columns):
+                    data, doc, key = (text.as_py() or "").encode(), doc.as_py(), key.as_py()
+                    for p in own.as_py():
+                        place, step = p["place"], -(-(p["high"] - p["low"] + 1) // SPLIT)
+                        for low in range(p["low"], p["high"] + 1, step):
+                            high = min(low + step - 1, p["high"])
+                            first, last = max(p["first"], place - high), min(p["last"], place - low)
+                            if first <= last:
+                                yield (doc, key, first, last,
+                                       signed(xxh3_64_intdigest(data[place - low:place - high + depth], seed=low + 1)),
+                                       signed(xxh3_64_intdigest(data[first:last + depth])), place, low, high)
+        yield from arrow_batches(schema, each())
+
+    return _with_places(docs, segments, "first", "last", "place", "low", "high").mapInArrow(cut, schema)
+
+
 def _sorted_marks(docs: DataFrame, lone: DataFrame, depth: int) -> DataFrame:
     """doc_id, text_key, begin, end of repeated bytes among segments of anchors with several contents.
     Only segments with a place of their own (``times`` = 1) are marked; the others are known already."""
-    places = lone.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(
-        F.collect_list(F.struct("first", "last", "anchor", "times")).alias("places"))
     total = lone.agg(F.coalesce(F.sum(F.col("last") - F.col("first") + depth), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_BYTES))
     cut_schema = schema_of("doc_id long, text_key long, first int, anchor long, times long, bytes binary")
@@ -146,9 +187,7 @@ def _sorted_marks(docs: DataFrame, lone: DataFrame, depth: int) -> DataFrame:
                                data[p["first"]:p["last"] + depth])
         yield from arrow_batches(cut_schema, each())
 
-    distinct = docs.select("doc_id", "text_key", "text")
-    joined = distinct.join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d"))
-                           & (F.col("text_key") == F.col("k"))).select("doc_id", "text_key", "text", "places")
+    joined = _with_places(docs, lone, "first", "last", "anchor", "times")
     pieces = joined.mapInArrow(cut, cut_schema).repartition(int(shards), "anchor")
     schema = schema_of("doc_id long, text_key long, begin int, end int")
 
@@ -185,21 +224,43 @@ def covered(starts: np.ndarray, depth: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut)].tolist(), (starts[np.append(cut - 1, len(starts) - 1)] + depth).tolist()))
 
 
+def grouped(docs: DataFrame, depth: int = 400) -> tuple[DataFrame, DataFrame]:
+    """Byte ranges of contents found twice (doc_id, text_key, begin, end), and the segments and pieces that are
+    left to sort, by anchor: at most ``SHARD_BYTES`` of each."""
+    gram = min(GRAM, max(1, depth // 2))
+    segments = stage(_segments(docs, depth, gram), "suffix-segments").select(
+        "*", F.lit(0).alias("low"), F.lit(depth - gram).alias("high"))
+    whole, lone = None, None
+    while True:
+        anchors = segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low_content"),
+                                                 F.max("content").alias("high_content")).filter(F.col("n") > 1)
+        shared = stage(segments.join(anchors.select("anchor", (F.col("low_content") < F.col("high_content"))
+                                                    .alias("several")), "anchor"), "suffix-shared")
+        contents = stage(shared.groupBy("anchor", "content").agg(
+            F.count("*").alias("times"), *[F.first(c).alias(c) for c in (
+                "doc_id", "text_key", "first", "last", "several", "place", "low", "high")]), "suffix-contents")
+        again = contents.filter(F.col("times") > 1).select("anchor", "content")
+        found = shared.join(again, ["anchor", "content"]).select(
+            "doc_id", "text_key", F.col("first").alias("begin"), (F.col("last") + depth).alias("end"))
+        left = contents.filter("several")
+        large = left.filter(F.col("low") < F.col("high")).groupBy("anchor").agg(
+            F.sum(F.col("last") - F.col("first") + depth).alias("bytes")).filter(
+            F.col("bytes") > SHARD_BYTES).select("anchor")
+        split = not large.isEmpty()
+        if split:
+            large = stage(large, "suffix-large")
+        small = left.join(large, "anchor", "left_anti") if split else left
+        small = small.select("doc_id", "text_key", "first", "last", "anchor", "times")
+        whole, lone = (found, small) if whole is None else (whole.union(found), lone.union(small))
+        if not split:
+            return whole, lone
+        segments = stage(_pieces(docs, left.join(large, "anchor", "left_semi"), depth), "suffix-pieces")
+
+
 def repeated_spans(docs: DataFrame, depth: int = 400) -> DataFrame:
     """doc_id, text_key, begin, end: byte ranges to remove, which may overlap. ``docs`` has a text_key."""
-    gram = min(GRAM, max(1, depth // 2))
-    segments = stage(_segments(docs, depth, gram), "suffix-segments")
-    anchors = segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"),
-                                             F.max("content").alias("high")).filter(F.col("n") > 1)
-    shared = stage(segments.join(anchors.select("anchor", (F.col("low") < F.col("high")).alias("several")), "anchor"),
-                   "suffix-shared")
-    contents = stage(shared.groupBy("anchor", "content").agg(
-        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc_id", "text_key", "first", "last", "several")]),
-        "suffix-contents")
-    again = contents.filter(F.col("times") > 1).select("anchor", "content")
-    whole = shared.join(again, ["anchor", "content"]).select(
-        "doc_id", "text_key", F.col("first").alias("begin"), (F.col("last") + depth).alias("end"))
-    return whole.union(_sorted_marks(docs, contents.filter("several"), depth))
+    whole, lone = grouped(docs, depth)
+    return whole.union(_sorted_marks(docs, lone, depth))
 
 
 def remove_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:

@@ -6,7 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from linkstats.llm import suffix_dedup
 from linkstats.llm.suffix_dedup import covered, gram_hashes, least_positions, remove_repeats
 from linkstats.llm.suffix_sort import Shard, Store
 
@@ -71,3 +73,22 @@ def test_hashes_and_least_positions():
     values = np.array([5, 3, 3, 9, 1, 7], np.uint64) << np.uint64(40)
     assert least_positions(values, 3).tolist() == [1, 1, 4, 4]
     assert covered(np.array([0, 1, 5, 20]), 5) == [(0, 10), (20, 25)]
+
+
+def test_an_anchor_with_many_contents_is_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    rng = random.Random(8)
+    passage, longer = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (60, 110))
+    rows = []
+    for i in range(150):  # a border of each passage, in texts of their own
+        left, right = ("".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(2))
+        rows.append((i, left + (passage if i % 3 else longer[:90 + i % 20]) + right, 0))
+    rows += [(900 + i, rows[i][1][20:], 0) for i in range(0, 40, 5)] + [(950, rows[1][1][40:150], 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    keyed = df.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    _, lone = suffix_dedup.grouped(keyed, 80)
+    sizes = [r[0] for r in lone.groupBy("anchor").agg(
+        F.sum(F.col("last") - F.col("first") + 80).alias("bytes")).select("bytes").collect()]
+    assert all(size <= 4000 for size in sizes)
+    got = remove_repeats(df, depth=80).collect()
+    assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got), key=repr) == expected(rows, 80)
