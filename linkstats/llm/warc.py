@@ -10,7 +10,10 @@ line separator. Longer members are followed by an empty member, which ends with
 The reader takes whole archives, whether of gzip members, plain records or both. A record must have a
 version line, a block of the stated length that two line ends follow, and digests that match. When a
 check fails it looks for the next gzip member or version line from which a valid record can be read,
-goes on there, and reports the bytes between as a gap with the reason.
+goes on there, and reports the bytes between as a gap with the reason. The same holds inside a gzip member of
+several records: those before and after a bad one are read, and so are those that a damaged or cut member
+gives before its error. Offset and length of a gap inside a member are the member's, and the reason names
+the unpacked bytes. A record that is all there is of a member fails with the member's own checks.
 
 Defined results: a null payload is empty; a null url is left out; a null page id counts as smallest and
 is written as ``null``; rows repeated with the same id and payload are all responses. A file is read in
@@ -101,19 +104,30 @@ class _Bad(ValueError):
     pass
 
 
-def _unpack(data: memoryview, start: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``start``."""
+def _unpack(data: memoryview, start: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at ``start``; if it is cut off or damaged, what it gave before
+    that, where reading stopped, and the reason."""
     unpacker, parts, at, step = zlib.decompressobj(31), [], start, 1 << 14
     try:
         while not unpacker.eof:
             if at >= len(data):
-                raise _Bad("gzip member is cut off")
+                return b"".join(parts), at, "gzip member is cut off"
             parts.append(unpacker.decompress(data[at:at + step]))
             at += min(step, len(data) - at)
             step = min(step * 2, 1 << 20)
     except zlib.error as error:
-        raise _Bad(f"gzip member is damaged: {error}") from None
-    return b"".join(parts), at - len(unpacker.unused_data)
+        reason = f"gzip member is damaged: {error}"
+    else:
+        return b"".join(parts), at - len(unpacker.unused_data), None
+    unpacker = zlib.decompressobj(31)  # a call that fails gives nothing, so go to the error byte by byte
+    unpacker.decompress(data[start:at])
+    try:
+        while at < len(data):
+            parts.append(unpacker.decompress(data[at:at + 1]))
+            at += 1
+    except zlib.error:
+        pass
+    return b"".join(parts), at, reason
 
 
 def _record(data, start: int) -> tuple[dict, bytes, int]:
@@ -163,17 +177,55 @@ def _fields(headers: dict, block: bytes) -> tuple:
             size, sha, payload)
 
 
-def _at(data: bytes, view: memoryview, start: int) -> tuple[list[tuple], int]:
-    """Records of the gzip member or the one plain record at ``start``, and where it ends."""
+def _inside(inner: bytes) -> Iterator[tuple[int, int, tuple | None, str | None]]:
+    """(begin, end, fields or None, reason or None) for the records and gaps of a member's content."""
+    at, gap, reason = 0, None, None
+    while at < len(inner):
+        try:
+            headers, block, end = _record(inner, at)
+            fields = _fields(headers, block)
+        except _Bad as bad:
+            if gap is None:
+                gap, reason = at, str(bad)
+            line = _VERSION_LINE.search(inner, at + 1)
+            at = line.start() if line else len(inner)
+            continue
+        if gap is not None:
+            yield gap, at, None, reason
+            gap = None
+        yield at, end, fields, None
+        at = end
+    if gap is not None:
+        yield gap, len(inner), None, reason
+
+
+def _at(data: bytes, view: memoryview, start: int) -> tuple[list[tuple], int | None]:
+    """(fields, None) of records and (None, reason) of gaps of the gzip member or the one plain record at
+    ``start``, and where it ends, or None if that is not known."""
     if data.startswith(GZIP_MAGIC, start):
-        inner, end = _unpack(view, start)
-        found, at = [], 0
-        while at < len(inner):
-            headers, block, at = _record(inner, at)
-            found.append(_fields(headers, block))
-        return found, end
+        inner, end, broken = _unpack(view, start)
+        found = list(_inside(inner))
+        whole = len(found) == 1 and found[0][1] == len(inner)
+        if broken and (whole or not any(fields for _, _, fields, _ in found)):
+            raise _Bad(broken)
+        if found and not any(fields for _, _, fields, _ in found):
+            raise _Bad(found[0][3])
+        out = [(fields, reason and f"{reason} (unpacked bytes {a} to {b})") for a, b, fields, reason in found]
+        return out + [(None, broken)] * (broken is not None), None if broken else end
     headers, block, end = _record(data, start)
-    return [_fields(headers, block)], end
+    return [(_fields(headers, block), None)], end
+
+
+def _next(data: bytes, view: memoryview, at: int) -> int:
+    """The next start, from ``at`` on, from which a valid record can be read."""
+    while candidate := _CANDIDATE.search(data, at):
+        try:
+            if _at(data, view, candidate.start())[0]:
+                return candidate.start()
+        except _Bad:
+            pass
+        at = candidate.start() + 1
+    return len(data)
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
@@ -183,24 +235,11 @@ def salvage(data: bytes) -> Iterator[tuple]:
         try:
             found, end = _at(data, view, at)
         except _Bad as bad:
-            reason, end = str(bad), at + 1
-            while True:  # the next start from which a valid record can be read
-                candidate = _CANDIDATE.search(data, end)
-                if not candidate:
-                    end = len(data)
-                    break
-                end = candidate.start()
-                try:
-                    if _at(data, view, end)[0]:
-                        break
-                except _Bad:
-                    pass
-                end += 1
-            yield at, end - at, None, reason
-            at = end
-            continue
-        for fields in found:
-            yield at, end - at, fields, None
+            found, end = [(None, str(bad))], None
+        if end is None:
+            end = _next(data, view, at + 1)
+        for fields, reason in found:
+            yield at, end - at, fields, reason
         at = end
 
 

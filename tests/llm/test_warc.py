@@ -1,5 +1,6 @@
 """Archives: round trip, and salvage of damaged files."""
 
+import random
 import zlib
 
 from linkstats.llm import warc
@@ -75,3 +76,34 @@ def test_members_end_with_a_zero_byte():
     assert member[-1] == 0
     first = zlib.decompressobj(31)
     assert len(first.decompress(member)) == len(big) and first.unused_data
+
+
+def test_salvage_inside_a_member():
+    records = [warc.record_bytes(i, "http://x", random.Random(i).randbytes(3000), i, "2024-01-01T00:00:00Z") for i in range(6)]
+    names = [f"<urn:x-page:{i}>" for i in range(8)]
+    after = warc.gzip_member(plain(6)) + plain(7)
+
+    def read(data):
+        found = list(warc.salvage(data))
+        return [f[1] for _, _, f, _ in found if f], [(at, n, r) for at, n, f, r in found if r]
+
+    hurt = [bytearray(r) for r in records]
+    hurt[2][-100] ^= 0xFF
+    member = warc.gzip_member(b"".join(hurt))
+    ids, gaps = read(member + after)
+    a = len(records[0] + records[1])
+    assert ids == names[:2] + names[3:] and len(gaps) == 1 and gaps[0][:2] == (0, len(member))
+    assert gaps[0][2].startswith("block digest differs") and f"{a} to {a + len(records[2])}" in gaps[0][2]
+    hurt[0][0] ^= 0xFF
+    hurt[5][-100] ^= 0xFF
+    ids, gaps = read(warc.gzip_member(b"".join(hurt)))
+    assert ids == [names[i] for i in (1, 3, 4)] and len(gaps) == 3
+    whole = warc.gzip_member(b"".join(records))
+    ids, gaps = read(whole[:-2000])
+    assert ids == names[:5] and gaps[-1][2] == "gzip member is cut off"
+    ids, gaps = read(whole[:len(whole) // 2] + after)
+    assert ids == names[:2] + names[6:] or ids == names[:3] + names[6:]
+    crc = bytearray(whole)
+    crc[-6] ^= 0xFF
+    ids, gaps = read(bytes(crc) + after)
+    assert ids == names and len(gaps) == 1 and "damaged" in gaps[0][2]
