@@ -16,6 +16,7 @@ from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.mixing import MIXTURE, mix
 from linkstats.llm.near_dedup import near_duplicates
 from linkstats.llm.quality import quality
+from linkstats.llm.simhash import near_duplicates as simhash_duplicates
 from linkstats.llm.suffix_dedup import remove_repeats
 from linkstats.llm.toxicity import fit_toxicity, score_toxicity
 from linkstats.llm.vector_search import nearest
@@ -79,10 +80,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "predicted")
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, bits=3)
+
+
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op6_suffix_dedup, op7_decontamination, op8_mixing,
-        op9_quality, op10_toxicity)} | {"pipeline": corpus_pipeline.run}
+        op9_quality, op10_toxicity, op12_simhash)} | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:
