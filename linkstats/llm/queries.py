@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from linkstats.llm import oracle
 from linkstats.llm.common import held_out, table
+from linkstats.llm.conversation_trie import conversation_trie
 from linkstats.llm.decontaminate import find_matches
+from linkstats.llm.hard_negatives import hard_negatives
 from linkstats.llm.language import fit_language, predict_language
 from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.mixing import MIXTURE, mix
@@ -80,14 +82,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding")
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5)
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, bits=3)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return conversation_trie(table(spark, sf_dir, "conversations"), base=conv - conv % 20,
+                             head=F.crc32(conv.cast("string")) % 4, most_head=3)
+
+
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_near_dedup, op2_vector_search, op3_language, op4_line_dedup, op5_warc, op6_suffix_dedup, op7_decontamination, op8_mixing,
-        op9_quality, op10_toxicity, op12_simhash)} | {"pipeline": corpus_pipeline.run}
+        op9_quality, op10_toxicity,
+        op11_hard_negatives, op12_simhash, op13_conversation_trie)} | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:
