@@ -392,9 +392,18 @@ def sql() -> dict[str, str]:
         row_number() OVER (PARTITION BY sched_id, iif_name ORDER BY ts DESC, seq_no DESC) AS rn FROM states)
         WHERE rn = 1"""
     out["o_k5"] = out["o_t2"] = q(latest, "sched_id ts seq_no dev_mode", "", "iif_name")
-    out["o_k1"] = q("SELECT exp_id, count(*) AS cnt, count(m_ts) AS with_state, "
-                    "sum(CAST(round(rtt * 100000) AS BIGINT)) AS rtt_sum FROM pings GROUP BY exp_id",
-                    "exp_id cnt with_state rtt_sum")
+    out["o_k1"] = q("""SELECT p.exp_id, count(*) AS cnt, count(p.m_ts) AS with_state,
+        sum(CAST(round(rtt * 100000) AS BIGINT)) AS rtt_sum, sum(epoch(run)::BIGINT - floor(epoch(p.m_ts))::BIGINT) AS state_age,
+        sum(CASE WHEN known THEN 24000 + right(if_name, 1)::INTEGER END) AS oper_sum, min(n) AS states
+        FROM (SELECT f.exp_id, f.rtt, f.if_name, f.run, max(s.ts) AS m_ts, bool_or(s.ts IS NOT NULL OR k.sched_id IS NOT NULL) AS known
+              FROM (SELECT *, CASE WHEN day(run_dtm) < 16 THEN TIMESTAMP '2024-01-08 12:00:00'
+                                   ELSE TIMESTAMP '2024-01-22 12:00:00' END AS run FROM probes) f
+              LEFT JOIN states s ON s.sched_id = f.sched_id AND s.iif_name = f.if_name AND s.ts <= f.run
+              LEFT JOIN (SELECT DISTINCT sched_id, iif_name FROM states) k
+                ON k.sched_id = f.sched_id AND k.iif_name = f.if_name
+              GROUP BY f.event_id, f.exp_id, f.rtt, f.if_name, f.run) p
+        JOIN (SELECT exp_id, count(*) AS n FROM states GROUP BY exp_id) c USING (exp_id)
+        GROUP BY p.exp_id""", "exp_id cnt with_state rtt_sum state_age oper_sum states")
     ping_ints, ping_doubles = _summary_names("ping")
     dl_ints, dl_doubles = _summary_names("download")
     out["o_k2"] = out["o_a6"] = q("SELECT * FROM ps", ping_ints, ping_doubles)

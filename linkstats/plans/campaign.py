@@ -11,6 +11,7 @@ from linkstats.functions.measures import Arms, SignalThresholds
 from linkstats.operators.enrich import classified, join_state, with_state
 from linkstats.operators.summary import download_summary, paired, ping_summary, tool_summary
 from linkstats.sinks.tables import replace_views
+from linkstats.sinks.versions import Published
 from linkstats.sources.experiments import of_batch
 
 SUMMARIES = ("ping_summary", "download_summary")
@@ -35,9 +36,10 @@ class Campaign:
     narrowed: bool = False
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, tables: dict[str, str], batch: str, **options) -> "Campaign":
+    def from_tables(cls, spark: SparkSession, tables: Published, batch: str, **options) -> "Campaign":
+        """The tables of one published load (see ``plans.load``), read by experiment."""
         names = ("experiment", "tcp_ping", "dwnl_test", "metadata")
-        return cls(*[spark.read.parquet(tables[name]) for name in names], batch, **options)
+        return cls(*[tables.table(spark, name) for name in names], batch, **options)
 
     def in_batch(self) -> "Campaign":
         """Only the facts of the batch. Where tables are partitioned by experiment,

@@ -15,8 +15,7 @@ from linkstats import schemas
 from linkstats.operators.asof import asof_join
 from linkstats.operators.enrich import with_interface, with_span
 from linkstats.operators.keys import unique_mapping
-from linkstats.session import remove_scratch, scratch_dir
-from linkstats.sinks.tables import write_campaign
+from linkstats.sinks.versions import Published, TableStore
 from linkstats.sources.experiments import read_experiment_configs
 from linkstats.sources.files import folders_of
 from linkstats.sources.logs import read_metadata_log, read_policy_log
@@ -47,64 +46,50 @@ def shielded(states: DataFrame, personal: str = "drop") -> DataFrame:
     return states.withColumns({c: F.lit(None).cast("string") for c in schemas.PERSONAL_COLUMNS})
 
 
-Stage = Callable[[DataFrame, str], DataFrame]
-
-
-def stage_to_parquet(spark: SparkSession, folders: list[str] | None = None) -> Stage:
-    """Write a frame to the shared scratch folder and read it back; ``folders`` collects where.
-
-    Facts and states are used several times on the way to the tables; from
-    Parquet each use reads its own columns instead of parsing the text again.
-    """
-    def stage(frame: DataFrame, name: str) -> DataFrame:
-        folder = scratch_dir(spark, f"load-{name}")
-        if folders is not None:
-            folders.append(folder)
-        frame.write.parquet(folder)
-        return spark.read.schema(frame.schema).parquet(folder)
-    return stage
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def campaign_tables(spark: SparkSession, config: str, root: str, personal: str = "drop",
-                    stage: Stage = lambda frame, name: frame) -> dict[str, DataFrame]:
+                    keep: Keep = lambda frame, name: frame) -> dict[str, DataFrame]:
     """The three tables of all schedules named in the experiment configs.
 
-    Probes get ids, interface and operator lookups, and the time of their state.
+    Probes get ids, interface and operator lookups, and the time of their state. ``keep`` may
+    store a table as soon as it is known; probes then look up the states that it gives back.
+    A listed schedule without a folder has no rows.
     """
     schedules = read_experiment_configs(spark, config)
-    root = folders_of(root, schedules)
-    states = stage(with_span(stage(read_metadata_log(spark, root).join(schedules, "sched_id"), "log")), "states")
-    listed = read_policy_log(spark, root).join(schedules.select("sched_id").distinct(), "sched_id", "left_semi")
+    folders = folders_of(spark, root, schedules)
+    spans = with_span(read_metadata_log(spark, folders).join(schedules, "sched_id"))
+    states = keep(shielded(spans, personal).select(*schemas.METADATA.names), "metadata")
+    listed = read_policy_log(spark, folders).join(schedules.select("sched_id").distinct(), "sched_id", "left_semi")
     addresses, operators = address_map(listed), operator_map(states)
 
     def facts(raw: DataFrame, name: str, columns: list[str]) -> DataFrame:
         named = with_interface(raw.join(schedules, "sched_id"), addresses, operators)
-        return asof_join(stage(named, name), states, {"sched_id": "sched_id", "if_name": "iif_name"},
-                         "run_dtm", "ts", {"m_ts": "ts"}).select(*columns)
+        return keep(asof_join(named, states, {"sched_id": "sched_id", "if_name": "iif_name"},
+                              "run_dtm", "ts", {"m_ts": "ts"}).select(*columns), name)
 
     return {
-        "tcp_ping": facts(read_pings(spark, root), "pings", schemas.TCP_PING.names),
-        "dwnl_test": facts(read_downloads(spark, root), "downloads", schemas.DWNL_TEST.names),
-        "metadata": shielded(states, personal).select(*schemas.METADATA.names),
+        "tcp_ping": facts(read_pings(spark, folders), "tcp_ping", schemas.TCP_PING.names),
+        "dwnl_test": facts(read_downloads(spark, folders), "dwnl_test", schemas.DWNL_TEST.names),
+        "metadata": states,
     }
 
 
 def load_campaign(spark: SparkSession, config: str, root: str, target: str,
-                  personal: str = "drop", experiments: DataFrame | None = None) -> dict[str, str]:
-    """Read, check and store a campaign; returns the path of each table.
+                  personal: str = "drop", experiments: DataFrame | None = None) -> Published:
+    """Read, check and store a campaign, all of it or nothing; returns the published tables.
 
-    With ``experiments``, the dimension is stored as well, as ``Campaign.from_tables``
-    needs it. Scratch folders are removed, whether the load succeeds or fails.
+    Every table is written once, by experiment, and checked where it lies. All of them become
+    visible at once (see ``sinks.versions``). Experiments named in the configs replace what the store
+    held of them; others stay. With ``experiments``, the dimension is stored as well, as
+    ``Campaign.from_tables`` needs it.
     """
-    folders: list[str] = []
-    try:
-        tables = campaign_tables(spark, config, root, personal, stage_to_parquet(spark, folders))
-        write_campaign({name: (frame, TABLE_KEYS[name]) for name, frame in tables.items()}, target)
-    finally:
-        for folder in folders:
-            remove_scratch(spark, folder)
-    paths = {name: f"{target}/{name}" for name in tables}
-    if experiments is not None:
-        paths["experiment"] = f"{target}/experiment"
-        experiments.write.mode("overwrite").parquet(paths["experiment"])
-    return paths
+    listed = read_experiment_configs(spark, config).select("exp_id").distinct().collect()
+    store = TableStore(spark, target)
+    with store.load(f"exp_id={r.exp_id}" for r in listed) as load:
+        campaign_tables(spark, config, root, personal,
+                        lambda frame, name: load.write(name, frame, TABLE_KEYS[name], "exp_id"))
+        if experiments is not None:
+            load.write("experiment", experiments, schemas.EXPERIMENT_KEY)
+    return load.published

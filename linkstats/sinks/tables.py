@@ -8,41 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstats.functions.measures import fixed_point
-from linkstats.operators.keys import require_unique
-from linkstats.session import remove_scratch, scratch_dir
-
-
-def write_partitioned(df: DataFrame, path: str, partition: str = "exp_id") -> None:
-    """Write by experiment, replacing only the experiments that ``df`` holds.
-
-    The rebalance step gives each experiment few files and splits a large one
-    over many writers.
-    """
-    (df.hint("rebalance", partition).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
-
-
-def write_campaign(tables: dict[str, tuple[DataFrame, Sequence[str]]], path: str) -> None:
-    """Write tables given as name -> (frame, primary key), none of them on bad input.
-
-    Every table is computed into a scratch folder and its key checked there.
-    Only then are the stored tables replaced, so a bad input, which fails while
-    it is computed or checked, leaves them as they were. The tables are replaced
-    one after the other; if that step is cut short, load again.
-    """
-    staged, folders = {}, []
-    try:
-        for name, (frame, key) in tables.items():
-            spark = frame.sparkSession
-            folder = scratch_dir(spark, f"stage-{name}")
-            folders.append((spark, folder))
-            frame.write.parquet(folder)
-            staged[name] = require_unique(spark.read.schema(frame.schema).parquet(folder), key, name)
-        for name, frame in staged.items():
-            write_partitioned(frame, f"{path}/{name}")
-    finally:
-        for spark, folder in folders:
-            remove_scratch(spark, folder)
 
 
 def replace_table(df: DataFrame, name: str, path: str) -> DataFrame:

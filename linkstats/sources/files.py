@@ -53,20 +53,23 @@ def discover_result_files(spark: SparkSession, root: str, name: str) -> DataFram
 MOST_SCHEDULES = 10_000
 
 
-def folders_of(root: str, schedules: DataFrame) -> str:
-    """Pattern of the folders of the listed schedules, so that no other is opened."""
+def folders_of(spark: SparkSession, root: str, schedules: DataFrame) -> list[str]:
+    """Folders of the listed schedules that exist, so that no other is opened."""
     ids = sorted(r[0] for r in schedules.select("sched_id").distinct().limit(MOST_SCHEDULES + 1).collect())
     if len(ids) > MOST_SCHEDULES:
         raise ValueError(f"more than {MOST_SCHEDULES} schedules in one load")
     if not ids:
         raise ValueError("the configs list no schedule")
-    return f"{root.rstrip('/')}/{{{','.join(map(str, ids))}}}"
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{{{','.join(map(str, ids))}}}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return [status.getPath().toString() for status in found or []]
 
 
-def read_result_lines(spark: SparkSession, root: str, name: str, glob: str) -> DataFrame:
+def read_result_lines(spark: SparkSession, root: str | list[str], name: str, glob: str) -> DataFrame:
     """Text lines of one tool's files with ``path``, ``sched_id`` and ``run_dtm``.
 
-    ``glob`` names the files for the listing, so other tools' files are not opened.
+    ``glob`` names the files for the listing, so other tools' files are not opened. A list of
+    roots may be empty.
     """
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
              .text(root).select("value", F.col("_metadata.file_path").alias("path")))

@@ -10,7 +10,7 @@ from linkstats import schemas
 from linkstats.sources.files import DOWNLOAD_NAME, PING_NAME, with_run_identity
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType, glob: str | None = None) -> DataFrame:
     reader = (spark.read.schema(schema).option("sep", "\t").option("quote", "")
               .option("mode", "FAILFAST").option("recursiveFileLookup", True))
     if glob:
@@ -18,17 +18,17 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, glob: str | N
     return reader.csv(path)
 
 
-def _read_runs(spark: SparkSession, root: str, schema: T.StructType, name: str, glob: str) -> DataFrame:
+def _read_runs(spark: SparkSession, root: str | list[str], schema: T.StructType, name: str, glob: str) -> DataFrame:
     rows = read_tsv(spark, root, schema, glob)
     rows = rows.select("*", F.col("_metadata.file_path").alias("path"))
     return with_run_identity(rows, name).drop("path")
 
 
-def read_pings(spark: SparkSession, root: str, name: str = PING_NAME,
+def read_pings(spark: SparkSession, root: str | list[str], name: str = PING_NAME,
                glob: str = "*tcp-ping-[0-9]*-[0-9]*.txt*") -> DataFrame:
     return _read_runs(spark, root, schemas.PING_TSV, name, glob)
 
 
-def read_downloads(spark: SparkSession, root: str, name: str = DOWNLOAD_NAME,
+def read_downloads(spark: SparkSession, root: str | list[str], name: str = DOWNLOAD_NAME,
                    glob: str = "*dwnl-test-[0-9]*-[0-9]*.txt*") -> DataFrame:
     return _read_runs(spark, root, schemas.DOWNLOAD_TSV, name, glob)

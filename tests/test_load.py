@@ -13,7 +13,9 @@ from linkstats.plans import reports
 from linkstats.plans.campaign import Campaign
 from linkstats.plans.load import campaign_tables, load_campaign
 from linkstats.session import scratch_dir
+from linkstats.sinks import versions
 from linkstats.sinks.tables import report_lines
+from linkstats.sinks.versions import TableStore
 from linkstats.sources import configs, files, policies, samples
 from linkstats.sources.experiments import experiment_dimension, read_experiment_configs
 
@@ -94,11 +96,11 @@ def test_campaign_tables(spark, raw, rows):
 
 def test_load_store_and_report(spark, raw, rows):
     target = scratch_dir(spark, "tables")
-    paths = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
+    load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
     again = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
-    assert paths == again and spark.read.parquet(paths["tcp_ping"]).count() == 5
+    assert again.number == 2 and again.table(spark, "tcp_ping").count() == 5
     experiments = experiment_dimension(spark, [(900, "Day-1", "2024-01-05 10:00", "b")])
-    c = Campaign(experiments, *[spark.read.parquet(paths[n]) for n in ("tcp_ping", "dwnl_test", "metadata")], "b")
+    c = Campaign(experiments, *[again.table(spark, n) for n in ("tcp_ping", "dwnl_test", "metadata")], "b")
     got = {r.sched_id: r for r in c.ping_summary.collect()}
     assert got[7001].cnt_good == 1 and got[7001].cnt_poor_t == 1 and got[7002].cnt_fair == 1
     stored = c.with_stored_summaries(spark, scratch_dir(spark, "summaries"))
@@ -115,23 +117,106 @@ def test_other_schedules_are_not_opened(spark, raw, rows):
     put(raw / "campaign" / "7003" / "tcp-ping-20240105-101700.txt", "not\ta row\n")
     target = scratch_dir(spark, "tables")
     experiments = experiment_dimension(spark, [(900, "Day-1", "2024-01-05 10:00", "b")])
-    paths = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target, experiments=experiments)
-    c = Campaign.from_tables(spark, paths, "b")
+    stored = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target, experiments=experiments)
+    c = Campaign.from_tables(spark, stored, "b")
     assert c.tcp_ping.count() == 5 and rows(c.experiments, "exp_id", "batch") == [(900, "b")]
 
 
-def test_load_removes_its_scratch(spark, raw):
-    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+def shown(spark, rows, stored):
+    """All rows that readers see."""
+    return {name: rows(stored.table(spark, name)) for name in ("tcp_ping", "dwnl_test", "metadata", "experiment")}
 
-    def left():
-        return {p.name for pattern in ("load-*", "stage-*") for p in shared.glob(pattern)}
 
-    before = left()
-    load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), scratch_dir(spark, "tables"))
-    put(raw / "campaign" / "7001" / "tcp-ping-20240105-101700.txt", "not\ta row\n")
-    with pytest.raises((PySparkException, Py4JJavaError)):
-        load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), scratch_dir(spark, "tables"))
-    assert left() == before
+def loads(target):
+    return sorted(p.name for p in Path(target).glob("*/load=*"))
+
+
+@pytest.mark.parametrize("cut", ["metadata", "tcp_ping", "dwnl_test", "experiment", "publish"])
+def test_a_load_cut_anywhere_leaves_the_old_campaign_in_full(spark, raw, rows, monkeypatch, cut):
+    target = scratch_dir(spark, "tables")
+    experiments = experiment_dimension(spark, [(900, "Day-1", "2024-01-05 10:00", "b")])
+    config, root = str(raw / "config.json"), str(raw / "campaign")
+    before = load_campaign(spark, config, root, target, experiments=experiments)
+    old, folders = shown(spark, rows, before), loads(target)
+    put(raw / "campaign" / "7002" / "tcp-ping-20240105-101700.txt", PING)
+    write, publish = versions.Load.write, versions.Manifests.publish
+
+    class Cut(Exception):
+        pass
+
+    def cut_write(self, name, *more):
+        if name == cut:
+            raise Cut
+        return write(self, name, *more)
+
+    def cut_publish(self, *more):
+        if cut == "publish":
+            raise Cut
+        return publish(self, *more)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(versions.Load, "write", cut_write)
+        patch.setattr(versions.Manifests, "publish", cut_publish)
+        with pytest.raises(Cut):
+            load_campaign(spark, config, root, target, experiments=experiments)
+    assert shown(spark, rows, TableStore(spark, target).current()) == old and loads(target) == folders
+    after = load_campaign(spark, config, root, target, experiments=experiments)
+    assert after.table(spark, "tcp_ping").count() == 7
+    assert shown(spark, rows, before) == old                 # an open reader keeps what it saw
+
+
+def test_a_load_replaces_its_experiments_in_every_table(spark, raw, rows):
+    target = scratch_dir(spark, "tables")
+    config, root = raw / "config.json", str(raw / "campaign")
+    load_campaign(spark, str(config), root, target)
+    put(config, '{"id": 901, "schedules": {"7003": {"nodeid": 43}}}')
+    second = load_campaign(spark, str(config), root, target)
+    assert rows(second.table(spark, "tcp_ping").groupBy("exp_id").count()) == [(900, 5), (901, 2)]
+    put(config, '{"id": 900, "schedules": {"7002": {"nodeid": 42}}}')
+    third = load_campaign(spark, str(config), root, target)
+    assert rows(third.table(spark, "tcp_ping").groupBy("exp_id").count()) == [(900, 2), (901, 2)]
+    assert third.table(spark, "dwnl_test").count() == 0      # the downloads of 900 were of 7001
+    assert rows(second.table(spark, "dwnl_test"), "exp_id") == [(900,), (900,)]
+
+
+def test_two_loads_at_once_both_count(spark, rows):
+    store = TableStore(spark, scratch_dir(spark, "tables"))
+    with store.load() as first:
+        first.write("t", spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], "k")
+        with store.load() as second:
+            second.write("t", spark.createDataFrame([(2, "b")], "k int, v string"), ["k"], "k")
+    assert (second.published.number, first.published.number) == (1, 2)
+    assert rows(store.current().table(spark, "t")) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError, match="other columns"):
+        with store.load() as other:
+            other.write("t", spark.createDataFrame([(2, 5)], "k int, v int"), ["k"], "k")
+    assert rows(store.current().table(spark, "t")) == [(1, "a"), (2, "b")]
+
+
+def test_a_published_number_is_never_replaced(spark):
+    manifests = versions.Manifests(spark, scratch_dir(spark, "manifests"))
+    assert manifests.newest() == (0, {})
+    assert manifests.publish(1, {"tables": {}}) and not manifests.publish(1, {"tables": {"x": {}}})
+    assert manifests.newest() == (1, {"tables": {}})
+
+
+def test_vacuum_removes_what_no_manifest_names(spark, raw):
+    target = scratch_dir(spark, "tables")
+    for _ in range(3):
+        stored = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
+    store = TableStore(spark, target)
+    unfinished = store.load()                                # a driver that died before the end of its load
+    unfinished.write("tcp_ping", stored.table(spark, "tcp_ping"), ["sched_id", "run_tool", "run_dtm", "iter_nr"], "exp_id")
+    assert store.vacuum(keep=1) == [] and len(loads(target)) == 10
+    assert len(store.vacuum(keep=1, older_than_seconds=0)) == 7
+    assert store.current().number == 3 and store.current().table(spark, "tcp_ping").count() == 5
+
+
+def test_listed_schedules_without_folders_have_no_rows(spark, raw):
+    put(raw / "config.json", '{"id": 902, "schedules": {"8001": {"nodeid": 1}, "8002": {"nodeid": 2}}}')
+    stored = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), scratch_dir(spark, "tables"))
+    assert [stored.table(spark, name).count() for name in ("tcp_ping", "dwnl_test", "metadata")] == [0, 0, 0]
+    assert stored.table(spark, "metadata").columns == schemas.METADATA.names
 
 
 def test_mapping_conflict_fails_the_load(spark, raw):
@@ -139,17 +224,16 @@ def test_mapping_conflict_fails_the_load(spark, raw):
     target = scratch_dir(spark, "tables")
     with pytest.raises(PySparkException, match="if_name changed for 7001, 10.0.0.1"):
         load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
-    with pytest.raises(PySparkException):
-        spark.read.parquet(f"{target}/tcp_ping").count()
+    assert TableStore(spark, target).current().tables == {} and loads(target) == []
 
 
 def test_repeated_key_leaves_stored_tables_alone(spark, raw):
     target = scratch_dir(spark, "tables")
-    paths = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
+    load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
     put(raw / "campaign" / "7001" / "copy" / "tcp-ping-20240105-101325.txt", PING)
     with pytest.raises(DuplicateKeyError):
         load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), target)
-    assert spark.read.parquet(paths["tcp_ping"]).count() == 5
+    assert TableStore(spark, target).current().table(spark, "tcp_ping").count() == 5
 
 
 @pytest.mark.parametrize("name, text", [
