@@ -572,8 +572,12 @@ def sql() -> dict[str, str]:
         arg_max(protocol, ts) AS p FROM reads GROUP BY flow_id))""", "flow_id bytes reads",
                      "duration bandwidth", "protocol size_text bandwidth_text")
     out["o_w1"] = q("SELECT seq_no, span FROM spans", "seq_no", "span")
-    out["o_t4"] = q("""SELECT seq_no, span FROM (SELECT *, lead(ts) OVER (PARTITION BY sched_id, iif_name
-        ORDER BY ts, seq_no) AS following FROM spans) WHERE following IS NOT NULL""", "seq_no", "span")
+    behind = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 DAY FROM states WHERE {})"
+    too_late = f"(seq_no % 50 = 0 AND ts < {behind.format('seq_no % 50 <> 0')})"
+    out["o_t4"] = q(f"""SELECT seq_no, (epoch_us(following) - epoch_us(ts)) / 1000000.0::DOUBLE AS span, 0 AS late
+        FROM (SELECT seq_no, ts, lead(ts) OVER (PARTITION BY sched_id, iif_name ORDER BY ts, seq_no) AS following
+              FROM states WHERE NOT {too_late}) WHERE following < {behind.format('true')}
+        UNION ALL SELECT seq_no, NULL, 1 FROM states WHERE {too_late}""", "seq_no late", "span")
     out["o_w4"] = q("""SELECT event_id, grown AS interval_bytes, passed AS interval_seconds,
         grown * 8 / nullif(passed, 0) AS rate_bps FROM (SELECT event_id,
         bytes_total - lag(bytes_total) OVER w AS grown,

@@ -19,7 +19,8 @@ from linkstats.plans import load, reports
 from linkstats.session import scratch_dir, use_utc
 from linkstats.sinks import tables
 from linkstats.sources import (configs, experiments, files, logs, policies, probes, samples, topic)
-from linkstats.streaming import messages, snapshots, windows
+from linkstats.streaming import keyed, messages, windows
+from linkstats.streaming import spans as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -395,13 +396,12 @@ def state_stream_parts(spark: SparkSession, states: DataFrame) -> list[DataFrame
 def latest_states(spark, sf):
     rows = roles.states(spark, sf).select("sched_id", "iif_name", "ts", "seq_no", "dev_mode")
     folder = scratch_dir(spark, "latest")
-    snapshot = snapshots.Snapshot(f"{folder}/snapshot", rows.schema)
+    store = keyed.KeyedStore(f"{folder}/store", rows.schema, ("sched_id", "iif_name"), ("ts", "seq_no"), 8, 2)
     for part in state_stream_parts(spark, rows):
         part.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        snapshots.start_latest(stream, snapshot, ["sched_id", "iif_name"], ["ts", "seq_no"],
-                               f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
-    return snapshot.latest(spark)
+        keyed.start_latest(stream, store, f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    return store.latest(spark)
 
 
 @query("o_k7")
@@ -488,16 +488,21 @@ def refreshed_quality_stream(spark, sf):
 
 @query("o_t4")
 def span_stream(spark, sf):
+    """States arrive up to two days out of order, and every fiftieth only after all others."""
     rows = roles.states(spark, sf).select("sched_id", "iif_name", "ts", "seq_no")
     folder = scratch_dir(spark, "spans")
-    open_rows = snapshots.Snapshot(f"{folder}/open", rows.schema)
-    for part in state_stream_parts(spark, rows):
-        part.write.mode("append").parquet(f"{folder}/in")
+    held = F.col("seq_no") % 50 == 0
+    shifted = rows.where(~held).withColumn("arrival", F.col("ts") + F.make_dt_interval(hours=F.col("seq_no") * 7919 % 48))
+    low, high = shifted.agg(F.min("arrival"), F.max("arrival")).first()
+    cuts = [low + (high - low) * i / 3 for i in (1, 2)]
+    arrival = F.col("arrival")
+    for part in (shifted.where(arrival < cuts[0]), shifted.where((arrival >= cuts[0]) & (arrival < cuts[1])),
+                 shifted.where(arrival >= cuts[1]), rows.where(held)):
+        part.select(*rows.columns).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        snapshots.start_spans(stream, open_rows, f"{folder}/closed", ["sched_id", "iif_name"], "ts",
-                              f"{folder}/checkpoint", ["seq_no"],
-                              {"availableNow": True}).awaitTermination()
-    return spark.read.parquet(f"{folder}/closed").select("seq_no", "span")
+        streamed.start_spans(stream, f"{folder}/out", ["sched_id", "iif_name"], "ts", f"{folder}/checkpoint", "2 days",
+                             ["seq_no"], {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("seq_no", "span", "late")
 
 
 @query("o_t5")

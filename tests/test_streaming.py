@@ -1,13 +1,17 @@
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
 from linkstats.functions.records import RecordLayout
 from linkstats.operators.enrich import with_span
 from linkstats.session import scratch_dir
+from linkstats.sinks.versions import Manifests
 from linkstats.sources import topic
-from linkstats.streaming import messages, snapshots, windows
+from linkstats.streaming import messages, windows
+from linkstats.streaming.keyed import KeyedStore, start_latest
+from linkstats.streaming.spans import start_spans, waiting_states
 
 ONCE = {"availableNow": True}
 T0 = datetime(2024, 1, 1)
@@ -82,6 +86,7 @@ def test_no_consumer_drops_records_only(spark, inbox):
 
 
 STATE = "sched_id int, iif_name string, ts timestamp, seq_no int"
+KEYS = ("sched_id", "iif_name")
 
 
 def state(key, second, seq):
@@ -92,51 +97,94 @@ BATCHES = [[state("a", 0, 1), state("a", 5, 2), state("b", 1, 3)], [state("a", 9
            [state("b", 100, 5), state("a", 9, 6)], [state("c", 7, 7)]]
 
 
-def feed(spark, folder, start):
-    for batch in BATCHES:
+def feed(spark, folder, start, batches=BATCHES):
+    for batch in batches:
         frame = spark.createDataFrame(batch, STATE)
         frame.write.mode("append").parquet(f"{folder}/in")
         start(spark.readStream.schema(frame.schema).parquet(f"{folder}/in")).awaitTermination()
-    return spark.createDataFrame([r for b in BATCHES for r in b], STATE)
+    return spark.createDataFrame([r for b in batches for r in b], STATE)
 
 
-def test_latest_state_survives_batches(spark, rows):
-    folder = scratch_dir(spark, "latest")
-    snapshot = snapshots.Snapshot(f"{folder}/snap", spark.createDataFrame([], STATE).schema)
-    feed(spark, folder, lambda s: snapshots.start_latest(
-        s, snapshot, ["sched_id", "iif_name"], ["ts", "seq_no"], f"{folder}/cp", ONCE))
-    assert rows(snapshot.latest(spark), "iif_name", "seq_no") == [("a", 6), ("b", 5), ("c", 7)]
-
-
-def test_streamed_spans_equal_batch_spans(spark, rows):
-    folder = scratch_dir(spark, "spans")
-    open_rows = snapshots.Snapshot(f"{folder}/open", spark.createDataFrame([], STATE).schema)
-    everything = feed(spark, folder, lambda s: snapshots.start_spans(
-        s, open_rows, f"{folder}/closed", ["sched_id", "iif_name"], "ts", f"{folder}/cp", ["seq_no"], ONCE))
-    closed = rows(spark.read.parquet(f"{folder}/closed"), "seq_no", "span")
-    still_open = rows(open_rows.latest(spark), "seq_no")
-    batch = rows(with_span(everything), "seq_no", "span")
-    assert closed == [(1, 5.0), (2, 4.0), (3, 99.0), (4, 0.0)] and still_open == [(5,), (6,), (7,)]
-    assert sorted(closed + [(n, 0.0) for n, in still_open]) == batch
-
-
-def test_a_replayed_batch_changes_nothing(spark, rows):
-    folder = scratch_dir(spark, "replay")
+def keyed_store(spark, **options):
     schema = spark.createDataFrame([], STATE).schema
-    snapshot = snapshots.Snapshot(f"{folder}/snap", schema)
-    first, second = (spark.createDataFrame(b, STATE) for b in BATCHES[:2])
-    for number, batch in ((0, first), (1, second), (1, second)):
-        merged = snapshot.before(spark, number).unionByName(batch)
-        snapshot.write(snapshots.latest_per_key(merged, ["sched_id", "iif_name"], ["ts", "seq_no"]), number)
-    assert rows(snapshot.latest(spark), "iif_name", "seq_no") == [("a", 4), ("b", 3)]
-
-
-def test_late_states_are_set_apart(spark, rows):
-    batch = spark.createDataFrame([state("a", 1, 1), state("a", 5, 2), state("z", 0, 3)], STATE)
-    opened = spark.createDataFrame([state("a", 5, 0)], STATE)
-    kept = snapshots.without_late(batch, opened, ["sched_id", "iif_name"], "ts")
-    assert rows(kept, "seq_no") == [(2,), (3,)]
-    assert rows(snapshots.late_rows(batch, opened, ["sched_id", "iif_name"], "ts"), "seq_no") == [(1,)]
+    return KeyedStore(scratch_dir(spark, "latest"), schema, KEYS, ("ts", "seq_no"), **options)
+
+
+def test_latest_state_survives_batches_and_a_fresh_checkpoint(spark, rows):
+    store = keyed_store(spark)
+    folder = scratch_dir(spark, "latest-in")
+    feed(spark, folder, lambda s: start_latest(s, store, f"{folder}/cp", ONCE))
+    assert rows(store.latest(spark), "iif_name", "seq_no") == [("a", 6), ("b", 5), ("c", 7)]
+    other = scratch_dir(spark, "latest-in")                  # another query, from batch 0 on
+    feed(spark, other, lambda s: start_latest(s, store, f"{other}/cp", ONCE), [[state("c", 8, 8), state("a", 1, 9)]])
+    assert rows(store.latest(spark), "iif_name", "seq_no") == [("a", 6), ("b", 5), ("c", 8)]
+
+
+def test_a_batch_writes_only_the_buckets_it_touches_and_once(spark, rows):
+    store = keyed_store(spark, buckets=16)
+    store.merge(spark.createDataFrame([state(f"k{i}", i, i) for i in range(200)], STATE), 0, "q")
+    before = {p.parent for p in Path(store.path).glob("data/*/bucket=*/*.parquet")}
+    assert len(before) == 16
+    store.merge(spark.createDataFrame([state("k7", 1000, 1)], STATE), 1, "q")
+    new = {p.parent for p in Path(store.path).glob("data/*/bucket=*/*.parquet")} - before
+    assert len(new) == 1
+    store.merge(spark.createDataFrame([state("k7", 9000, 2)], STATE), 1, "q")   # batch 1 again: it has been taken in
+    assert rows(store.latest(spark).where("iif_name = 'k7'"), "seq_no") == [(1,)]
+    assert store.latest(spark).count() == 200
+
+
+def test_readers_see_a_whole_version_while_the_next_is_written(spark, rows, monkeypatch):
+    store = keyed_store(spark, most_deltas=2)
+    for n in range(3):
+        store.merge(spark.createDataFrame([state("a", n, n), state("b", n, n)], STATE), n, "q")
+    reader = store.latest(spark)                             # opened now, read later
+    with monkeypatch.context() as patch:                     # a batch that dies before it publishes
+        patch.setattr(Manifests, "publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.merge(spark.createDataFrame([state("a", 50, 50)], STATE), 3, "q")
+    assert rows(store.latest(spark), "iif_name", "seq_no") == [("a", 2), ("b", 2)]
+    for n in range(3, 8):
+        store.merge(spark.createDataFrame([state("a", n, n)], STATE), n, "q")
+    assert rows(reader, "iif_name", "seq_no") == [("a", 2), ("b", 2)]
+    assert rows(store.latest(spark), "iif_name", "seq_no") == [("a", 7), ("b", 2)]
+
+
+def test_compaction_and_vacuum_bound_the_folders(spark, rows):
+    store = keyed_store(spark, buckets=2, most_deltas=3)
+    for n in range(9):
+        store.merge(spark.createDataFrame([state(f"k{i}", n, n) for i in range(8)], STATE), n, "q")
+        _, content = store._manifests(spark).newest()
+        assert all(len(deltas) <= 3 for deltas in content["folders"].values())
+    store.vacuum(spark, keep=1)
+    assert len(list(Path(store.path).glob("data/delta=*"))) <= 3
+    assert rows(store.latest(spark), "seq_no") == [(8,)] * 8
+
+
+def start_to(folder, delay="10 seconds"):
+    return lambda s: start_spans(s, f"{folder}/out", KEYS, "ts", f"{folder}/cp", delay, ["seq_no"], ONCE)
+
+
+def test_streamed_spans_of_states_out_of_order(spark, rows):
+    folder = scratch_dir(spark, "spans")
+    shuffled = [[state("a", 8, 1), state("b", 1, 2), state("a", 0, 3)], [state("a", 3, 4), state("a", 8, 5), state("a", 16, 6)],
+                [state("b", 9, 7), state("a", 7, 8), state("a", 60, 9)], [state("c", 55, 10), state("a", 1, 11), state("b", 3, 12)],
+                [state("a", 100, 13)]]
+    everything = feed(spark, folder, start_to(folder), shuffled)
+    out = spark.read.parquet(f"{folder}/out")
+    late = rows(out.where("late = 1"), "seq_no", "span")
+    assert late == [(11, None), (12, None)]                  # 50 seconds were certain when they came
+    whole = {r.seq_no: r.span for r in with_span(everything.where("seq_no NOT IN (11, 12)")).collect()}
+    closed = rows(out.where("late = 0"), "seq_no", "span")
+    assert [n for n, _ in closed] == [1, 2, 3, 4, 5, 6, 8]   # 60 is open, followers of the others are not behind 90 yet
+    assert closed == [(n, whole[n]) for n, _ in closed]
+    waiting = waiting_states(everything, f"{folder}/cp", "ts")
+    assert rows(waiting, "iif_name", "seq_no") == [("a", 13), ("a", 9), ("b", 7), ("c", 10)]
+
+
+def test_timers_close_states_of_a_quiet_key(spark, rows):
+    folder = scratch_dir(spark, "spans")
+    feed(spark, folder, start_to(folder), [[state("a", 0, 1), state("a", 5, 2)], [state("b", 100, 3)]])
+    assert rows(spark.read.parquet(f"{folder}/out"), "seq_no", "span") == [(1, 5.0)]
 
 
 def test_window_means_wait_for_the_watermark(spark, rows):
