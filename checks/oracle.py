@@ -141,19 +141,24 @@ CTES = {
         FROM ev""",
     "reads": """SELECT event_id, user_id AS flow_id, ts, CAST(round(value * 100) AS BIGINT) * 10 AS bytes,
         k % 5 AS protocol, event_id * 1000 + k AS bytes_total FROM ev""",
-    "rules": "SELECT * FROM (VALUES {rules}) AS t(uid, role, name, lo, hi, score)",
+    "sizes": "SELECT DISTINCT p_size AS s FROM part",
+    "rules": """SELECT DISTINCT 'rule-' || s AS uid, role, name, lo::DOUBLE AS lo, hi::DOUBLE AS hi, score::DOUBLE AS score FROM (
+        SELECT s, 'match' AS role, 'device_mode' AS name, unnest([3, 4, s % 6]) AS lo, unnest([3, 4, s % 6]) AS hi, NULL AS score
+          FROM sizes WHERE s % 3 = 0
+        UNION ALL SELECT s, 'property', 'device_mode', unnest([3, 4]), unnest([3, 4]), unnest([0, s % 20]) FROM sizes WHERE s % 3 = 0
+        UNION ALL SELECT s, 'match', 'device_mode', 4, 4, NULL FROM sizes WHERE s % 3 = 1
+        UNION ALL SELECT s, 'match', 'rssi', -128, -s - 40, NULL FROM sizes WHERE s % 3 = 1
+        UNION ALL SELECT s, 'property', 'rssi', -100, -s - 50, 15 FROM sizes WHERE s % 3 = 1
+        UNION ALL SELECT s, 'property', 'lte_rsrq', -11, -(s % 12), 5 FROM sizes WHERE s % 3 = 1
+        UNION ALL SELECT s, 'property', 'dlb_quality', 0, s % 4, 2 FROM sizes WHERE s % 3 = 2
+        UNION ALL SELECT s, 'property', 'lte_rsrp', -128, -s - 80, 7 FROM sizes WHERE s % 3 = 2)""",
     "candidates": """SELECT event_id, sched_id, ts, iif_name AS if_name, dev_mode AS device_mode, rssi,
         lte_rsrp, lte_rsrq, k % 4 AS dlb_quality FROM states""",
 }
 
 
 def _prelude() -> str:
-    from checks.queries import RULES
-    rows = ", ".join(
-        "(" + ", ".join("NULL" if v is None else (f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE")
-                        for v in row) + ")" for row in RULES)
-    return "WITH " + ", ".join(f"{name} AS ({body.format(rules=rows) if name == 'rules' else body})"
-                               for name, body in CTES.items())
+    return "WITH " + ", ".join(f"{name} AS ({body})" for name, body in CTES.items())
 
 
 def q(body: str, ints: str = "", doubles: str = "", texts: str = "") -> str:
@@ -368,6 +373,7 @@ def sql() -> dict[str, str]:
         CASE WHEN p_partkey % 10 <> 0 THEN 'tcp-ping' END AS first_command FROM part""",
                     "p_partkey corrupt run_count ping_count commands", "", "first_command")
     out["o_s10"] = q("""
+        SELECT r.*, p_size AS priority, CASE WHEN p_partkey % 2 = 0 THEN 'yes' END AS replaces FROM (
         SELECT 'rule-' || p_partkey AS uid, 'policy' AS policy_type, 'match' AS role, 0 AS group_no,
             'device_mode' AS name, m AS lo, m AS hi, NULL AS text_value, NULL AS precedence, NULL AS score
             FROM part, unnest([3, 4, p_size]) AS u(m) WHERE p_partkey % 3 = 0
@@ -381,8 +387,9 @@ def sql() -> dict[str, str]:
         UNION ALL SELECT 'rule-' || p_partkey, 'policy', 'property', 0, 'rssi', -128, -p_size, NULL, 2, 15
             FROM part WHERE p_partkey % 3 = 1
         UNION ALL SELECT 'rule-' || p_partkey, 'profile', 'property', 0, 'interface', NULL, NULL, i, 2, NULL
-            FROM part, unnest(['op0', 'op' || p_size]) AS u(i) WHERE p_partkey % 3 = 2""",
-                     "group_no precedence", "lo hi score", "uid policy_type role name text_value")
+            FROM part, unnest(['op0', 'op' || p_size]) AS u(i) WHERE p_partkey % 3 = 2) r
+        JOIN part ON r.uid = 'rule-' || p_partkey""",
+                     "group_no precedence priority", "lo hi score", "uid policy_type role name text_value replaces")
     out["o_s11"] = q("""SELECT event_id,
         CASE event_type WHEN 'view' THEN 'no space' WHEN 'purchase' THEN 'bad json' ELSE 'ok' END AS status,
         CASE WHEN event_type <> 'view' THEN 'META.MODEM' END AS header,

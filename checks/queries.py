@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,44 +23,6 @@ from linkstats.streaming import spans as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Scored rules as (uid, role, name, lo, hi, score).
-RULES = (
-    ("device_mode", "match", "device_mode", 3, 3, None),
-    ("device_mode", "match", "device_mode", 4, 4, None),
-    ("device_mode", "match", "device_mode", 5, 5, None),
-    ("device_mode", "property", "device_mode", 3, 3, 0),
-    ("device_mode", "property", "device_mode", 4, 4, 10),
-    ("device_mode", "property", "device_mode", 5, 5, 20),
-    ("dlb_quality", "match", "dlb_quality", 0, 0, None),
-    ("dlb_quality", "match", "dlb_quality", 1, 1, None),
-    ("dlb_quality", "match", "dlb_quality", 2, 2, None),
-    ("dlb_quality", "property", "dlb_quality", 0, 0, 0),
-    ("dlb_quality", "property", "dlb_quality", 1, 1, 5),
-    ("dlb_quality", "property", "dlb_quality", 2, 2, 30),
-    ("signal_strength", "match", "device_mode", 4, 4, None),
-    ("signal_strength", "match", "rssi", -128, 0, None),
-    ("signal_strength", "property", "rssi", -128, -95, 0),
-    ("signal_strength", "property", "rssi", -94, -70, 15),
-    ("signal_strength", "property", "rssi", -69, 0, 20),
-    ("signal_strength_lte_fair", "match", "device_mode", 5, 5, None),
-    ("signal_strength_lte_fair", "match", "lte_rsrp", -111, -103, None),
-    ("signal_strength_lte_fair", "match", "lte_rsrq", -11, -8, None),
-    ("signal_strength_lte_fair", "property", "lte_rsrp", -111, -103, 10),
-    ("signal_strength_lte_fair", "property", "lte_rsrq", -11, -8, 5),
-    ("signal_strength_lte_good", "match", "device_mode", 5, 5, None),
-    ("signal_strength_lte_good", "match", "lte_rsrp", -102, 0, None),
-    ("signal_strength_lte_good", "match", "lte_rsrq", -7, 0, None),
-    ("signal_strength_lte_good", "property", "lte_rsrp", -102, 0, 10),
-    ("signal_strength_lte_good", "property", "lte_rsrq", -7, 0, 10),
-)
-# Rules of another shape: without a condition, and with ranges that overlap.
-RULES += (
-    ("anywhere", "property", "device_mode", 4, 5, 1),
-    ("overlapping", "match", "rssi", -128, -70, None),
-    ("overlapping", "match", "rssi", -90, 0, None),
-    ("overlapping", "property", "dlb_quality", 0, 1, 2),
-)
-
 _QUERIES: dict[str, Query] = {}
 
 
@@ -166,11 +127,22 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("k") % 4).alias("dlb_quality"))
 
 
-def stored_rules(spark: SparkSession) -> DataFrame:
-    columns = zip(("uid", "role", "name", "lo", "hi", "score"), zip(*RULES))
-    return spark.createDataFrame(pa.table({
-        name: pa.array(values, pa.string() if isinstance(values[0], str) else pa.float64())
-        for name, values in columns}))
+def stored_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """One rule for each part size: lists of modes, ranges that overlap, and rules without a condition."""
+    size, form = F.col("p_size"), F.col("p_size") % 3
+    listed = F.format_string(
+        '"match": {"device_mode": {"value": [3, 4, %d]}}, "properties": [[{"device_mode": {"value": 3, "precedence": 2, '
+        '"score": 0}}, {"device_mode": {"value": 4, "precedence": 2, "score": %d}}]]}', size % 6, size % 20)
+    ranged = F.format_string(
+        '"match": {"device_mode": {"value": 4}, "rssi": {"value": {"start": -128, "end": -%d}}}, "properties": {"rssi": '
+        '{"value": {"start": -100, "end": -%d}, "precedence": 2, "score": 15}, "lte_rsrq": {"value": {"start": -11, "end": '
+        '-%d}, "precedence": 2, "score": 5}}}', size + 40, size + 50, size % 12)
+    free = F.format_string(
+        '"properties": {"dlb_quality": {"value": {"start": 0, "end": %d}, "precedence": 2, "score": 2}, "lte_rsrp": '
+        '{"value": {"start": -128, "end": -%d}, "precedence": 2, "score": 7}}}', size % 4, size + 80)
+    text = F.concat(F.lit('{"uid": "rule-'), size, F.lit('", "policy_type": "policy", '),
+                    F.when(form == 0, listed).when(form == 1, ranged).otherwise(free))
+    return policies.parse_policies(roles.table(spark, sf, "part").select("p_size").distinct().select(text.alias("value")))
 
 
 # --- sources ------------------------------------------------------------------------------
@@ -283,7 +255,9 @@ def run_configs(spark, sf):
 @query("o_s10")
 def policy_rules(spark, sf):
     p = roles.table(spark, sf, "part")
-    uid, size = F.concat(F.lit('{"uid": "rule-'), F.col("p_partkey"), F.lit('", ')), F.col("p_size")
+    size = F.col("p_size")
+    uid = F.concat(F.lit('{"uid": "rule-'), F.col("p_partkey"), F.lit('", "priority": '), size, F.when(
+        F.col("p_partkey") % 2 == 0, F.lit(', "replace_matched": true, ')).otherwise(F.lit(", ")))
     listed = F.format_string(
         '"policy_type": "policy", "match": {"device_mode": {"value": [3, 4, %d]}}, "properties": '
         '[[{"device_mode": {"value": 3, "precedence": 2, "score": 0}}, '
@@ -298,7 +272,8 @@ def policy_rules(spark, sf):
         '{"interface": {"value": "op%d", "precedence": 2}}]]}', size)
     form = F.col("p_partkey") % 3
     text = F.concat(uid, F.when(form == 0, listed).when(form == 1, ranged).otherwise(profile))
-    return policies.parse_policies(p.select(text.alias("value"))).drop("priority", "replace_matched")
+    parsed = policies.parse_policies(p.select(text.alias("value")))
+    return parsed.withColumn("replaces", F.when(F.col("replace_matched"), "yes")).drop("replace_matched")
 
 
 @query("o_s11")
@@ -800,13 +775,13 @@ def three_way_join(spark, sf):
 
 @query("o_j9")
 def scored_rules(spark, sf):
-    return policy.rule_scores(candidates(spark, sf), stored_rules(spark), ["event_id"])
+    return policy.rule_scores(candidates(spark, sf), stored_rules(spark, sf), ["event_id"])
 
 
 @query("o_o4")
 def best_interfaces(spark, sf):
     c = candidates(spark, sf).withColumn("day", F.date_trunc("day", "ts"))
-    scores = policy.state_scores(c, stored_rules(spark), ["event_id", "sched_id", "day", "if_name"])
+    scores = policy.state_scores(c, stored_rules(spark, sf), ["event_id", "sched_id", "day", "if_name"])
     return policy.best_interface(scores, ["sched_id", "day"])
 
 

@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from checks import roles
+from checks import queries, roles
+from linkstats.operators import policy
 from linkstats.operators.asof import asof_join
 from linkstats.operators.enrich import with_span
 from linkstats.operators.slices import with_neighbour, with_row_number
@@ -77,3 +78,11 @@ def test_batch_prunes_partitions_and_pushes_filters(spark):
     assert "dynamicpruning" in text.lower()
     assert "EqualTo(ping_type,ECHO)" in text
     assert "unused" not in re.search(r"ReadSchema: (\S+)", text).group(1)
+
+
+@needs_tables
+def test_rules_meet_states_by_equality_of_interval_numbers(no_broadcast):
+    text = plan(policy.rule_scores(queries.candidates(no_broadcast, SF), queries.stored_rules(no_broadcast, SF), ["event_id"]))
+    joins = [line for line in text.splitlines() if "SortMergeJoin" in line and "slot" in line]
+    assert joins and all("name" in line and "Inner" in line and ">=" not in line for line in joins)
+    assert "NestedLoop" not in text and "Cartesian" not in text and "ObjectHashAggregate" not in text

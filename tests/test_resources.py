@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -127,6 +128,38 @@ def test_rules_without_condition_with_text_and_with_overlaps(spark, rows):
                    (3, "free", 0.0)]
 
 
+def test_random_ranges_against_plain_comparison(spark, rows):
+    rng = random.Random(4)
+    entries = []
+    for uid in range(30):
+        for role in ("match", "property"):
+            for name in rng.sample(("a", "b", "c"), rng.randrange(3)):
+                lo = rng.choice([-2.5, -1.0, 0.0, 1.0, 1.5, 3.0])
+                entries += [(f"r{uid}", role, rng.randrange(2), name, lo, lo + rng.randrange(-1, 4), None, 1.0 + uid)]
+        entries += [(f"r{uid}", "property", 0, "c", None, None, rng.choice(["1.5", "x"]), 0.5)]
+    states = [(k, *(rng.choice([None, -3.0, -2.5, -1.0, 0.2, 1.0, 1.5, 6.9]) for _ in "ab"), rng.choice([None, "1.5", "x", "0"]))
+              for k in range(60)]
+    frame = spark.createDataFrame(entries, "uid string, role string, group_no int, name string, lo double, hi double, "
+                                           "text_value string, score double")
+    got = rows(policy.rule_scores(spark.createDataFrame(states, "k int, a double, b double, c string"), frame, ["k"],
+                                  ("a", "b", "c")))
+
+    def holds(e, state):
+        value = state["abc".index(e[3]) + 1]
+        number = value if isinstance(value, float) else {"1.5": 1.5, "0": 0.0}.get(value)
+        return (e[4] is not None and number is not None and e[4] <= number <= e[5]) or (e[6] is not None and value == e[6])
+
+    expected = []
+    for state in states:
+        for uid in {e[0] for e in entries}:
+            own = {e for e in entries if e[0] == uid}
+            asked = {e[3] for e in own if e[1] == "match"}
+            if asked == {e[3] for e in own if e[1] == "match" and holds(e, state)}:
+                sums = {(e[2], e[3], e[7]) for e in own if e[1] == "property" and holds(e, state)}
+                expected.append((state[0], uid, sum(s for *_, s in sums)))
+    assert got == sorted(expected, key=repr)
+
+
 def test_best_interface_breaks_ties_by_name(spark, rows):
     df = spark.createDataFrame([(1, "op0", 5.0), (1, "op1", 5.0), (1, "op2", 1.0)], "k int, if_name string, score double")
     assert rows(policy.best_interface(df, ["k"])) == [(1, "op1", 5.0)]
