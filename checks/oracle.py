@@ -610,9 +610,13 @@ def sql() -> dict[str, str]:
     out["o_o2"] = q(f"""SELECT oper, cnt, speed_mbs, row_number() OVER (ORDER BY speed_mbs DESC NULLS LAST, oper)
         AS place FROM (SELECT oper, count(*) AS cnt, {rnd(speed, 2)} AS speed_mbs FROM dl GROUP BY oper)""",
                     "oper cnt place", "speed_mbs")
-    out["o_t5"] = q("""SELECT epoch_us(w) AS window_start, app_name, count(cpu) AS cpu_cnt, avg(cpu) AS cpu_avr FROM (
-        SELECT time_bucket(INTERVAL '1 hour', ts) AS w, app_name, cpu FROM samples)
-        GROUP BY w, app_name""", "window_start cpu_cnt", "cpu_avr", "app_name")
+    mark = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM samples WHERE {})"
+    out["o_t5"] = q(f"""SELECT epoch_us(w) AS window_start, app_name, count(cpu) AS cpu_cnt, avg(cpu) AS cpu_avr,
+        CASE WHEN w + INTERVAL 1 HOUR > {mark.format('true')} THEN 'open'
+             WHEN bool_or(held) AND w + INTERVAL 1 HOUR <= {mark.format('epoch_us(ts) % 40 <> 0')} THEN 'corrected'
+             ELSE 'written' END AS origin
+        FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS w, app_name, cpu, epoch_us(ts) % 40 = 0 AS held FROM samples)
+        GROUP BY w, app_name""", "window_start cpu_cnt", "cpu_avr", "app_name origin")
 
     often, never = f"{SHARE} > 0.2::DOUBLE", f"{SHARE} = 0"
     out["q1"], out["q2"] = _rtt_gain(), _download_gain()

@@ -14,9 +14,9 @@ The state store must be RocksDB, as ``transformWithState`` asks; ``start_spans``
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -91,18 +91,23 @@ def streamed_spans(rows: DataFrame, keys: Sequence[str], ts: str, delay: str, ti
         ((F.col("next_at") - F.col("at")) / F.lit(1e6)).alias("span"), F.col("late").cast("int").alias("late"))
 
 
+def with_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query with the state store it needs. A query keeps the settings it was started with."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
 def start_spans(rows: DataFrame, output: str, keys: Sequence[str], ts: str, checkpoint: str,
                 delay: str = "1 minute", tiebreak: Sequence[str] = (), trigger: dict | None = None) -> StreamingQuery:
     """Append each state with its span to Parquet, once, when its follower is certain; late ones apart (``late=1``)."""
-    conf = rows.sparkSession.conf
-    before = conf.get(PROVIDER, None)
-    conf.set(PROVIDER, ROCKSDB)
-    try:
-        return (streamed_spans(rows, keys, ts, delay, tiebreak).writeStream.outputMode("append").partitionBy("late")
-                .format("parquet").option("path", output).option("checkpointLocation", checkpoint)
-                .trigger(**(trigger or {"processingTime": "5 seconds"})).start())
-    finally:  # a query keeps the settings it was started with
-        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
+    return with_rocksdb(rows.sparkSession, lambda: (
+        streamed_spans(rows, keys, ts, delay, tiebreak).writeStream.outputMode("append").partitionBy("late")
+        .format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "5 seconds"})).start()))
 
 
 def waiting_states(rows: DataFrame, checkpoint: str, ts: str) -> DataFrame:

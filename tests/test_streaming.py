@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkstats.functions.records import RecordLayout
 from linkstats.operators.enrich import with_span
@@ -187,12 +188,25 @@ def test_timers_close_states_of_a_quiet_key(spark, rows):
     assert rows(spark.read.parquet(f"{folder}/out"), "seq_no", "span") == [(1, 5.0)]
 
 
-def test_window_means_wait_for_the_watermark(spark, rows):
+SAMPLES = "ts timestamp, k string, v double"
+
+
+def test_late_samples_correct_windows_that_were_written(spark, rows):
     folder = scratch_dir(spark, "windows")
-    frame = spark.createDataFrame([(T0 + timedelta(seconds=s), "x", float(s)) for s in (0, 30, 60, 200)],
-                                  "ts timestamp, k string, v double")
-    frame.write.parquet(f"{folder}/in")
-    means = windows.window_means(spark.readStream.schema(frame.schema).parquet(f"{folder}/in"), ["k"], ["v"])
-    windows.start_window_means(means, f"{folder}/out", f"{folder}/cp", ONCE).awaitTermination()
-    got = rows(spark.read.parquet(f"{folder}/out"), "window_start", "v_cnt", "v_avr")
-    assert got == [(T0, 2, 15.0), (T0 + timedelta(minutes=1), 1, 60.0)]
+    batches = [[(0, "x", 0.0), (30, "x", 30.0), (60, "x", 60.0), (10, None, None)], [(200, "x", 200.0)],
+               [(31, "x", 90.0), (125, "x", 5.0), (20, "y", 7.0), (210, "x", None)]]
+    for batch in batches:
+        frame = spark.createDataFrame([(T0 + timedelta(seconds=s), k, v) for s, k, v in batch], SAMPLES)
+        frame.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{folder}/in")
+        windows.start_window_parts(windows.window_parts(stream, ["k"], ["v"]), f"{folder}/out", f"{folder}/cp",
+                                   ONCE).awaitTermination()
+    parts = spark.read.parquet(f"{folder}/out")
+    minute = F.minute("window_start")
+    assert rows(parts.where("late = 0"), minute, "k", "v_cnt", "v_sum") == [(0, "x", 2, 30.0), (0, None, 0, 0.0), (1, "x", 1, 60.0)]
+    assert rows(parts.where("late = 1"), minute, "k", "v_cnt", "v_sum") == [(0, "x", 1, 90.0), (0, "y", 1, 7.0)]
+    whole = windows.corrected_windows(parts, ["k"], ["v"], windows.open_windows(spark, f"{folder}/cp", ["k"], ["v"]))
+    assert rows(whole, minute, "k", "origin") == [
+        (0, "x", "corrected"), (0, "y", "corrected"), (0, None, "written"), (1, "x", "written"), (2, "x", "open"), (3, "x", "open")]
+    batch = windows.window_means(spark.read.schema(SAMPLES).parquet(f"{folder}/in"), ["k"], ["v"])
+    assert rows(whole.drop("origin")) == rows(batch)
