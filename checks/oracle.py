@@ -425,8 +425,9 @@ def sql() -> dict[str, str]:
         CASE WHEN dev_mode = 5 THEN lte_rsrp END AS lte_rsrp,
         CASE WHEN dev_mode <> 5 THEN ((rssi + 128) & 255) - 128 END AS rssi"""
     out["o_p14"] = q(f"{radio} FROM states", "seq_no mode lte_rssi lte_rsrp rssi", "", "if_name")
-    out["o_t1"] = out["o_k6"] = q(f"{radio}, iif_name || '_metadata_exporter' AS uid FROM states",
-                                  "seq_no mode lte_rssi lte_rsrp rssi", "", "if_name uid")
+    out["o_t1"] = out["o_k6"] = q(f"{radio}, iif_name || '_metadata_exporter' AS uid, "
+                                  "(SELECT count(*) FROM probes WHERE k % 10 = 0) AS rejects FROM states",
+                                  "seq_no mode lte_rssi lte_rsrp rssi rejects", "", "if_name uid")
     out["o_p13"] = q("""SELECT seq_no, iif_name || '_metadata_exporter' AS uid, 4 AS priority, 'true' AS link,
         iif_name AS matched, 'false' AS wired, 2 AS precedence, 24000 + k % 3 AS oper FROM states""",
                      "seq_no priority precedence oper", "", "uid link matched wired")

@@ -18,7 +18,7 @@ from linkstats.plans import load, reports
 from linkstats.session import scratch_dir, use_utc
 from linkstats.sinks import tables
 from linkstats.sources import (configs, experiments, files, logs, policies, probes, samples, topic)
-from linkstats.streaming import keyed, messages, windows
+from linkstats.streaming import keyed, messages, record_log, windows
 from linkstats.streaming import spans as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -403,13 +403,20 @@ def _radio(record_rows: DataFrame, *more: Column) -> DataFrame:
 
 @query("o_t1", "o_k6")
 def message_stream(spark, sf):
+    """Good messages, bad ones, every tenth message again, and then all of it again by a query without checkpoint."""
     folder = scratch_dir(spark, "messages")
-    state_messages(spark, sf).select("value").write.text(f"{folder}/in")
-    messages.start_records(topic.follow_files(spark, f"{folder}/in"), messages.to_folder(f"{folder}/records"),
-                           messages.to_folder(f"{folder}/rejected"), f"{folder}/checkpoint", "META.",
-                           trigger={"availableNow": True}).awaitTermination()
-    back = spark.read.parquet(f"{folder}/records")
-    return _radio(back, F.get_json_object("record", "$.uid").alias("uid"))
+    sent = state_messages(spark, sf)
+    torn = roles.probes(spark, sf).where("k % 10 = 0").select(
+        F.concat(F.lit('META.MODEM {"SequenceNumber": '), "event_id").alias("value"))
+    again = sent.where(F.col("seq_no") % 10 == 0)
+    sent.select("value").union(torn).union(again.select("value")).write.text(f"{folder}/in/first")
+    again.select("value").write.text(f"{folder}/in/second")
+    log, bad = record_log.RecordLog(f"{folder}/records"), record_log.RecordLog(f"{folder}/rejected", ("value",))
+    for checkpoint in ("checkpoint", "lost"):
+        messages.start_records(topic.follow_files(spark, f"{folder}/in/*"), log, bad, f"{folder}/{checkpoint}", "META.",
+                               trigger={"availableNow": True}, repeats_within="1 hour").awaitTermination()
+    rejects = bad.read(spark).agg(F.count("*").alias("rejects"))
+    return _radio(log.read(spark), F.get_json_object("record", "$.uid").alias("uid")).join(rejects)
 
 
 @query("o_j7")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from linkstats.sinks.versions import Folder, Manifests
+from linkstats.streaming.record_log import query_id
 
 BUCKET = "bucket"
 
@@ -109,7 +110,7 @@ class KeyedStore:
 def start_latest(rows: DataFrame, store: KeyedStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keep the latest row per key of a stream in a store."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        store.merge(batch, batch_id, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        store.merge(batch, batch_id, query_id(batch))
 
     return (rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())

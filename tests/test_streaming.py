@@ -12,6 +12,7 @@ from linkstats.sinks.versions import Manifests
 from linkstats.sources import topic
 from linkstats.streaming import messages, windows
 from linkstats.streaming.keyed import KeyedStore, start_latest
+from linkstats.streaming.record_log import RecordLog
 from linkstats.streaming.spans import start_spans, waiting_states
 
 ONCE = {"availableNow": True}
@@ -79,6 +80,39 @@ def test_quality_lookup_is_refreshed_between_batches(spark, inbox):
     assert json.loads(back.record)["properties"]["dlb_conn"]["value"] == 7
 
 
+def test_messages_sent_twice_and_a_lost_checkpoint_leave_one_record_each(spark, inbox, rows):
+    log = RecordLog(str(inbox / "log"), fan_in=2)
+    bad = RecordLog(str(inbox / "rejected"), ("value",))
+
+    def run(checkpoint):
+        messages.start_records(topic.follow_files(spark, str(inbox / "in")), log, bad, str(inbox / checkpoint), "META",
+                               trigger=ONCE, repeats_within="1 hour").awaitTermination()
+
+    send(inbox, "a.txt", LTE, UMTS, LTE, BAD[0], BAD[0])
+    run("cp")
+    names = [n for level in log._manifests(spark).newest()[1]["levels"].values() for n in level]
+    assert spark.read.parquet(*[f"{log.path}/data/{n}" for n in names]).count() == 2      # the repeat was not stored
+    send(inbox, "b.txt", UMTS, UMTS.replace('"SequenceNumber":2', '"SequenceNumber":3'))
+    run("cp")
+    run("lost")
+    assert rows(log.read(spark), "if_name", "seq_no") == [("op0", 1), ("op1", 2), ("op1", 3)]
+    assert rows(bad.read(spark), "value") == [(BAD[0],)]
+
+
+def test_the_log_merges_folders_and_takes_a_batch_once(spark, rows):
+    log = RecordLog(scratch_dir(spark, "log"), ("k",), fan_in=3)
+    for n in range(11):
+        batch = spark.createDataFrame([(n, f"first {n}"), (0, f"again {n}")], "k int, v string")
+        log.deliver(batch, n, "q")
+        log.deliver(batch.withColumn("k", F.lit(99)), n, "q")
+    levels = log._manifests(spark).newest()[1]["levels"]
+    assert {level: len(names) for level, names in levels.items() if names} == {"0": 2, "2": 1}
+    expected = [(0, "again 0"), *[(n, f"first {n}") for n in range(1, 11)]]
+    assert rows(log.read(spark)) == sorted(expected, key=repr)
+    log.vacuum(spark, keep=1)
+    assert len(list(Path(log.path).glob("data/*"))) == 3 and rows(log.read(spark)) == sorted(expected, key=repr)
+
+
 def test_no_consumer_drops_records_only(spark, inbox):
     send(inbox, "a.txt", LTE, BAD[0])
     messages.start_records(topic.follow_files(spark, str(inbox / "in")), None, messages.to_folder(str(inbox / "bad")),
