@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkstats.functions.measures import human_size, protocol_name, ratio
 from linkstats.functions.times import MICROS, elapsed_seconds, micros
-from linkstats.operators.slices import SLICE_SECONDS, with_neighbour
+from linkstats.operators.slices import SLICE_SECONDS, place_of, with_neighbour
 
 
 def flow_summary(reads: DataFrame, flow: str = "flow_id", ts: str = "ts",
@@ -18,14 +18,14 @@ def flow_summary(reads: DataFrame, flow: str = "flow_id", ts: str = "ts",
 
     A flow of one instant has no bandwidth.
     """
-    last = F.max(F.struct(ts, *tiebreak, "protocol"))
+    place = place_of(reads, [ts, *(tiebreak or ["protocol"])])
     sums = reads.groupBy(flow).agg(
         F.sum("bytes").alias("bytes"), F.count("*").alias("reads"),
-        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), last.alias("_last"))
+        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.max_by("protocol", place).alias("_last"))
     timed = sums.withColumn("duration", elapsed_seconds("first_ts", "last_ts"))
     timed = timed.withColumn("bandwidth", ratio(F.col("bytes") * 8, "duration"))
     return timed.withColumns({
-        "protocol": protocol_name("_last.protocol"),
+        "protocol": protocol_name("_last"),
         "size_text": human_size("bytes"),
         "bandwidth_text": F.concat(human_size("bandwidth"), F.lit("it/s"))}).drop("_last")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkstats.functions.measures import Arms, ColumnOrName, _col, ratio, to_mib
-from linkstats.operators.slices import SLICE_SECONDS, trim_ends, with_neighbour
+from linkstats.operators.slices import SLICE_SECONDS, place_of, with_neighbour
 
 
 @dataclass(frozen=True)
@@ -87,20 +87,35 @@ def overhead_report(samples: DataFrame, keys: Sequence[str] = ("recording",),
                     names: ResourceNames = ResourceNames()) -> DataFrame:
     """Mean and count of each measure by category: (category, key, cnt, avr).
 
-    The first and the last sample of a recording are incomplete and left out.
-    Samples are summed per category and tool before they are laid out by key, so
-    the layout handles a handful of rows.
+    The first and the last sample of a recording are incomplete and left out: sums run over all
+    samples, next to the values of each group's first and last one, and what the ends of a recording
+    have added is taken off again. So samples are read once and aggregated once, by recording,
+    category and tool, before a handful of sums is laid out by key. ``order`` is unique within a
+    recording; see ``place_of`` for orders that a hash aggregate can hold.
     """
-    rows = normalised(trim_ends(samples, keys, order), cores)
-    rows = rows.withColumn("category", sample_category(names)).where("category IS NOT NULL")
+    rows = normalised(samples, cores).withColumn("category", sample_category(names))
     measures = [*_HOST, *[f"{slot}_{kind}" for slot in _SLOTS_BY_CATEGORY["proxy"]
                           for kind in ("cpu", "mem")]]
-    parts = []
+    place = place_of(rows, order)
+    parts = [F.min(place).alias("_low"), F.max(place).alias("_high")]
     for measure in measures:
         slot = measure.rsplit("_", 1)[0]
         value = F.col(measure) if slot in ("app", measure) else F.when(_present(slot), F.col(measure))
-        parts += [F.count(value).alias(f"{measure}_n"), F.sum(value).alias(f"{measure}_sum")]
-    sums = rows.groupBy("category", "app_name").agg(*parts)
+        parts += [F.count(value).alias(f"{measure}_n"), F.sum(value).alias(f"{measure}_sum"),
+                  F.min_by(value, place).alias(f"{measure}_first"), F.max_by(value, place).alias(f"{measure}_last")]
+    recording = Window.partitionBy(*keys)
+    groups = rows.groupBy(*keys, "category", "app_name").agg(*parts).withColumns({
+        "_first": F.min("_low").over(recording), "_last": F.max("_high").over(recording)}).where("category IS NOT NULL")
+
+    def inner(measure: str) -> list[Column]:
+        ends = [F.when(F.col("_low") == F.col("_first"), F.col(f"{measure}_first")),
+                F.when((F.col("_high") == F.col("_last")) & (F.col("_first") != F.col("_last")), F.col(f"{measure}_last"))]
+        n, total = F.col(f"{measure}_n"), F.col(f"{measure}_sum")
+        for end in ends:
+            n, total = n - end.isNotNull().cast("int"), total - F.coalesce(end, F.lit(0.0))
+        return [F.sum(n).alias(f"{measure}_n"), F.sum(F.when(n > 0, total)).alias(f"{measure}_sum")]
+
+    sums = groups.groupBy("category", "app_name").agg(*[c for measure in measures for c in inner(measure)])
 
     cells = []
     for measure in measures:

@@ -86,3 +86,13 @@ def test_rules_meet_states_by_equality_of_interval_numbers(no_broadcast):
     joins = [line for line in text.splitlines() if "SortMergeJoin" in line and "slot" in line]
     assert joins and all("name" in line and "Inner" in line and ">=" not in line for line in joins)
     assert "NestedLoop" not in text and "Cartesian" not in text and "ObjectHashAggregate" not in text
+
+
+@needs_tables
+def test_overhead_reads_samples_once_and_aggregates_by_hash(no_broadcast):
+    text = plan(queries.overhead(no_broadcast, SF))
+    assert "SortAggregate" not in text and "Join" not in text and text.count("FileScan parquet") == 1
+    trimmed = plan(queries.inner_samples(no_broadcast, SF))
+    assert "SortAggregate" not in trimmed and "LeftAnti" not in trimmed
+    for name in ("o_f10", "o_a21"):
+        assert "SortAggregate" not in plan(queries.all_queries()[name](no_broadcast, SF)), name

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkstats.operators.asof import asof_join
 from linkstats.operators.enrich import with_span
 from linkstats.operators import slices
-from linkstats.operators.slices import (trim_ends, with_neighbour, with_row_number,
+from linkstats.operators.slices import (place_of, trim_ends, with_neighbour, with_row_number,
                                         within_time_limit)
 
 START = datetime(2024, 1, 1)
@@ -143,3 +143,12 @@ def test_probe_kinds(spark):
     assert [tuple(r) for r in got] == [("CONN", "CONN"), ("ECHO", "CONN"), (None, None)]
     with pytest.raises(ValueError, match="unknown probe mode"):
         slices.probe_kind("n", "other")
+
+
+def test_places_keep_the_order_of_times_and_ties(spark):
+    rows = [(datetime(1970, 1, 1), 5), (datetime(1969, 12, 31, 23, 59, 59, 999999), 1 << 62), (datetime(9999, 1, 1), -(1 << 63)),
+            (datetime(9999, 1, 1), (1 << 63) - 1), (datetime(1970, 1, 1), -5), (datetime(1, 1, 2), 0)]
+    df = spark.createDataFrame(rows, "ts timestamp, n long")
+    placed = df.withColumn("place", place_of(df, ["ts", "n"]))
+    assert placed.where("place IS NULL").count() == 0
+    assert [tuple(r)[:2] for r in placed.orderBy("place").collect()] == [tuple(r) for r in df.orderBy("ts", "n").collect()]
