@@ -111,6 +111,19 @@ def _blocks(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return flat, np.repeat(first, lengths) + inside // STRIDE, np.append(first, counts.sum())
 
 
+def _sum_rows(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``table[rows]`` over the runs of ``rows`` that begin at ``starts``, run by run in order. The first rows
+    of all runs are taken at once, then the second ones of those that have any, and so on."""
+    lengths = np.diff(np.append(starts, len(rows)))
+    longest_first = np.argsort(-lengths, kind="stable")
+    more = np.searchsorted(-lengths[longest_first], -np.arange(lengths.max()), side="left")
+    out = table[rows[starts]]
+    for j in range(1, len(more)):
+        runs = longest_first[:more[j]]
+        out[runs] += table[rows[starts[runs] + j]]
+    return out
+
+
 def _block_sums(flat: np.ndarray, block: np.ndarray, n_blocks: int, factors: np.ndarray,
                 keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum of the factors of each block's words; and the words that were counted, with their blocks."""
@@ -119,7 +132,7 @@ def _block_sums(flat: np.ndarray, block: np.ndarray, n_blocks: int, factors: np.
     out = np.zeros((n_blocks, factors.shape[1]), np.float32)
     if len(terms):
         starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        out[block[starts]] = np.add.reduceat(factors[terms], starts, axis=0)
+        out[block[starts]] = _sum_rows(factors, terms, starts)
     return out, terms, block
 
 
@@ -159,7 +172,7 @@ def latent_space(tokens: DataFrame, idf: np.ndarray, keep: np.ndarray, kind, ran
             if len(terms):  # a term's weight is the same in every passage, so it comes last
                 order = np.argsort(terms, kind="stable")
                 starts = np.flatnonzero(np.diff(terms[order], prepend=-1))
-                total[terms[order[starts]]] += np.add.reduceat(sums[at[order]], starts, axis=0)
+                total[terms[order[starts]]] += _sum_rows(sums, at[order], starts)
         total *= idf[:, None]
         held = np.flatnonzero(total.any(axis=1))
         yield from arrow_batches(schema, ((int(t), *map(float, total[t])) for t in held))

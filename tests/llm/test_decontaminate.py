@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from linkstats.llm.decontaminate import common_share, decontaminated, find_matches
+from linkstats.llm.decontaminate import _sum_rows, common_share, decontaminated, find_matches
 from tests.llm.helpers import prose
 
 DOCS = "doc_id long, text string, item_id string"
@@ -89,3 +89,11 @@ def test_short_reworded_items_equal_all_pairs(spark):
     got = {(r.doc_id, r.item_id): r.lcs for r in got.collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert sum((1000 + i, i) in want for i, _ in items) > 40
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(3)
+    table, rows = rng.standard_normal((50, 7)), rng.integers(0, 50, 400)
+    starts = np.unique(np.append(0, rng.integers(0, 400, 60)))
+    assert np.allclose(_sum_rows(table, rows, starts), np.add.reduceat(table[rows], starts, axis=0))
+    assert np.allclose(_sum_rows(table, rows[:1], starts[:1]), table[rows[:1]])
