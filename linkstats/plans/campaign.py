@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from linkstats.functions.measures import Arms, SignalThresholds
 from linkstats.operators.enrich import classified, join_state, with_state
 from linkstats.operators.summary import download_summary, paired, ping_summary, tool_summary
+from linkstats.schemas import SUMMARY_KEY
 from linkstats.sinks.tables import replace_views
-from linkstats.sinks.versions import Published
+from linkstats.sinks.versions import Published, TableStore
 from linkstats.sources.experiments import of_batch
 
 SUMMARIES = ("ping_summary", "download_summary")
@@ -94,11 +95,10 @@ class Campaign:
         return paired(self.ping_summary, self.download_summary, self.arms)
 
     def with_stored_summaries(self, spark: SparkSession, path: str) -> "Campaign":
-        """Write both summaries and read them from there; 16 of the reports share them."""
-        stored = {}
-        for name in SUMMARIES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-            stored[name] = spark.read.parquet(f"{path}/{name}")
+        """Write both summaries and read them from there; 16 of the reports share them. They are
+        published together, and what was stored before stays until then."""
+        with TableStore(spark, path).load() as load:
+            stored = {name: load.write(name, getattr(self, name), SUMMARY_KEY) for name in SUMMARIES}
         return replace(self, stored=stored)
 
     def register_views(self, spark: SparkSession, prefix: str = "") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,20 @@ from linkstats.functions.measures import fixed_point
 
 
 def replace_table(df: DataFrame, name: str, path: str) -> DataFrame:
-    """Drop and create a stored aggregate; returns it as read from storage."""
-    spark = df.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    df.write.mode("overwrite").option("path", path).saveAsTable(name)
+    """Store a frame as a table of the catalog; returns it as read from storage.
+
+    The rows are written to a new folder below ``path`` first. Only then is the table, if there is
+    one, pointed there, so a write that fails leaves it as it was. Folders of earlier versions stay.
+    """
+    spark, version = df.sparkSession, f"{path}/version={uuid.uuid4().hex}"
+    df.write.parquet(version)
+    back = spark.read.schema(df.schema).parquet(version)
+    if spark.catalog.tableExists(name) and spark.table(name).schema.simpleString() == back.schema.simpleString():
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, version, "parquet", df.schema)
     return spark.table(name)
 
 

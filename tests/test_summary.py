@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from linkstats.functions.measures import Arms
 from linkstats.operators import distributions as dist
-from linkstats.operators import keys
+from linkstats.operators import keys, summary
 from linkstats.operators.summary import (download_summary, paired, ping_summary, tool_summary)
 from linkstats.operators.totals import additive_parts, with_total
 from linkstats.plans import reports
 from linkstats.plans.campaign import Campaign
+from linkstats.session import scratch_dir
+from linkstats.sinks.summaries import SummaryStore
+from linkstats.sinks.tables import replace_table
+from linkstats.sinks.versions import Load, TableStore
 from linkstats.sources.experiments import experiment_dimension
 
 PING = ("exp_id int, sched_id int, node_id int, run_tool string, iter_nr int, if_name string, "
@@ -176,3 +180,48 @@ def test_key_checks(spark, rows):
 def test_dimension_label(spark):
     r = experiment_dimension(spark, EXPERIMENTS).where("exp_id = 1").first()
     assert r.exp_dtm == datetime(2018, 3, 15, 13, 36)
+
+
+def facts_of(spark, rows):
+    return spark.createDataFrame(
+        [(1, s, 7, tool, n, "ECHO" if n > 1 else "CONN", rtt, "op0", "LTE", "GOOD") for s, tool, n, rtt in rows],
+        "exp_id int, sched_id int, node_id int, run_tool string, iter_nr int, ping_type string, rtt double, if_name string, "
+        "device_mode string, signal_quality string")
+
+
+def test_stored_summaries_grow_by_loads_and_equal_a_rebuild(spark, rows, monkeypatch):
+    loads = [[(1, "tcp-ping", 1, 0.1), (1, "tcp-ping", 2, 0.3), (2, "tcp-ping", 2, 0.7)],
+             [(1, "t-tcp-ping", 2, 0.2), (3, "tcp-ping", 1, 0.9)], [(1, "tcp-ping", 3, 0.4)]]
+    store = SummaryStore(spark, scratch_dir(spark, "sums"), buckets=2)
+    for number, load in enumerate(loads):
+        published = store.add(f"load{number}", ping_summary=facts_of(spark, load))
+    whole = summary.ping_summary(facts_of(spark, sum(loads, [])))
+    assert rows(store.read("ping_summary").select(*whole.columns)) == rows(whole)
+    old = rows(store.read("ping_summary"))
+    with monkeypatch.context() as patch:                     # a load that fails when its summaries are written
+        write = Load.write
+        patch.setattr(Load, "write", lambda self, name, *a: write(self, name, *a) if name.endswith("_parts") else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.add("load3", ping_summary=facts_of(spark, [(1, "tcp-ping", 2, 9.0)]))
+    assert rows(store.read("ping_summary")) == old
+    again = [(1, "t-tcp-ping", 2, 0.6)]                      # load1 comes again without schedule 3
+    after = store.add("load1", ping_summary=facts_of(spark, again))
+    whole = summary.ping_summary(facts_of(spark, loads[0] + again + loads[2]))
+    assert rows(store.read("ping_summary").select(*whole.columns)) == rows(whole)
+    buckets = [p.tables["ping_summary"]["parts"] for p in (published, after)]
+    store.add("load4", ping_summary=facts_of(spark, [(2, "tcp-ping", 1, 0.5)]))
+    newest = TableStore(spark, store.root).current().tables["ping_summary"]["parts"]
+    assert set(newest) <= set(buckets[0]) and sum(newest[b] != buckets[1].get(b) for b in newest) == 1
+
+
+def test_a_table_is_pointed_to_its_new_rows_only_when_they_are_written(spark, rows):
+    folder = scratch_dir(spark, "table")
+    first = replace_table(spark.createDataFrame([(1, "a")], "k int, v string"), "linkstats_t", folder)
+    assert rows(first) == [(1, "a")]
+    broken = spark.createDataFrame([(2, "b")], "k int, v string").withColumn("v", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        replace_table(broken, "linkstats_t", folder)
+    assert rows(spark.table("linkstats_t")) == [(1, "a")]
+    assert rows(replace_table(spark.createDataFrame([(3, "c")], "k int, v string"), "linkstats_t", folder)) == [(3, "c")]
+    assert rows(replace_table(spark.createDataFrame([(4,)], "k int"), "linkstats_t", folder)) == [(4,)]
+    spark.sql("DROP TABLE linkstats_t")
