@@ -368,6 +368,10 @@ def _match_block(docs: DataFrame, items: _Items, rank: int, min_cosine: float, m
             .agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer")))
 
 
-def decontaminated(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """Documents without a match."""
-    return docs.join(matches.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Documents that hold no benchmark item, with all their columns. A row is told by its id and its text, so rows
+    without id are judged like others, and of rows that share an id each is judged by its own text."""
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    found = find_matches(docs.select(row.alias("doc_id"), "text"), benchmark, **options)
+    leaks = stage(found.select(F.col("doc_id").alias("row")).distinct(), "leaks")
+    return docs.join(leaks, row == leaks["row"], "left_anti")

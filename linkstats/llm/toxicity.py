@@ -7,8 +7,10 @@ exception phrase do not count. Every entry's hits are divided by the length of t
 text needs more of them, and the score is the logistic of the weighted sum.
 
 The lexicon is learned from labelled rows, by default from at most ``max_labelled`` of them, chosen by a
-hash of their ids. Entries are the words and word parts whose share of toxic texts lies far above their
-share of clean ones; weights come from a ridge logistic fit and are never negative.
+hash of their ids. Entries are all words (of up to ``WORD`` letters) and word parts that at least ``min_texts``
+toxic texts hold, more than twice as often as clean ones do and by ``min_lift`` deviations more than expected, but
+for those that stand beside a like entry in nearly the same texts. There is no limit on their number. Weights
+come from a ridge logistic fit and are never negative; entries that tell nothing get none and leave.
 
 Defined results: null, empty and wordless texts have no hits and get the score of a text without hits;
 without labelled rows the lexicon is empty. Rows of ``labels`` with a null id or label are left out, and
@@ -19,9 +21,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -35,7 +39,7 @@ from linkstats.llm.common import arrow_batches, held_out, schema_of, stage
 LOOKALIKES = dict(zip("абвгеёзіијкмнопрсѕтухԁьαβγεηικνορτυχω",
                       "abbree3iujkmhonpcstyxdbabyenikvoptuxw"))
 SIGNS = str.maketrans("0134578@$!|", "oieastbasii")
-GRAMS_HELD = 150_000
+GRAMS_HELD, WORD = 150_000, 40
 EXCEPTIONS = ("class clown", "clown fish", "trash bag", "trash can", "white trash bag")
 
 _WORD = re.compile(r"[@$]?[^\W_]+(?:[@$!|]+[^\W_]+)*")
@@ -98,11 +102,18 @@ class ToxicityModel:
         """Hits of every entry for its length: log(1 + hits in 1000 characters)."""
         folded = fold(text)
         counts = np.zeros(len(self.patterns))
-        hits, shelter = [], []
+        hits, ends, starts = [], [], []
         for end, (i, n) in automaton.iter(folded) if len(automaton) else ():
-            (hits if i >= 0 else shelter).append((end - n + 1, end, i))
+            if i >= 0:
+                hits.append((end - n + 1, end, i))
+            else:  # ends come in order
+                ends.append(end)
+                starts.append(end - n + 1)
+        # a hit is sheltered if of the shelters that end no earlier one begins no later
+        first = list(accumulate(reversed(starts), min))[::-1]
         for start, end, i in hits:
-            if not any(a <= start and end <= b for a, b, _ in shelter):
+            at = bisect_left(ends, end)
+            if at == len(ends) or first[at] > start:
                 counts[i] += 1
         return np.log1p(1000.0 * counts / (len(folded) + 200.0))
 
@@ -110,7 +121,7 @@ class ToxicityModel:
 def _grams(folded: str) -> set[str]:
     grams: set[str] = set()
     for word in set(folded.split()):
-        if len(word) <= 14:
+        if len(word) <= WORD:
             grams.add(f" {word} ")
         for n in (4, 5, 6):
             grams.update(word[i:i + n] for i in range(len(word) - n + 1))
@@ -134,50 +145,60 @@ def _gram_counts(batches: Iterator, schema) -> Iterator:
     yield from held()
 
 
-def _chosen(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, most: int) -> list[str]:
-    """Entries far more frequent among toxic texts, without near repeats of an entry already chosen."""
+def _parts(core: str) -> Iterator[str]:
+    return (core[a:b] for a in range(len(core)) for b in range(a + 4, len(core) + 1))
+
+
+def _chosen(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
+    """Entries by lift, without those that hold an entry already chosen, or lie in one, and are about as frequent."""
     def lift(row):
         p, q = row[1] / n_toxic, (row[2] + 0.5) / (n_clean + 1)
         return (p - q) / (q * (1 - min(q, 0.999)) / n_toxic + 1 / n_toxic ** 2) ** 0.5
-    ranked = sorted(counts, key=lambda r: (-lift(r), r[0]))
-    chosen: list[tuple[str, int]] = []
-    for gram, hits, _ in ranked:
-        if len(chosen) == most:
-            break
+    chosen: list[str] = []
+    of_entry: dict[str, list[int]] = {}  # hits of the entries with this core
+    holding: dict[str, list[int]] = {}  # hits of the entries that hold this part
+    for gram, hits, _ in sorted(counts, key=lambda r: (-lift(r), r[0])):
         core = gram.strip()
-        near = [n for g, n in chosen if core in g or g.strip() in gram]
+        near = [n for part in {core, *_parts(core)} for n in of_entry.get(part, ())] + holding.get(core, [])
         if not any(0.7 <= hits / n <= 1.4 for n in near):
-            chosen.append((gram, hits))
-    return [g for g, _ in chosen]
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> tuple[np.ndarray, float]:
-    """Ridge logistic fit by Newton steps; entries that would count against toxicity leave."""
-    active = np.arange(x.shape[1])
-    prior = (y.sum() + 0.5) / (len(y) + 2)
-    while True:
-        a = np.hstack([x[:, active], np.ones((len(x), 1))])
-        w = np.zeros(a.shape[1])
-        w[-1] = np.log(prior / (1 - prior))
-        penalty = np.full(a.shape[1], ridge)
-        penalty[-1] = 1e-3
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            gradient = a.T @ (p - y) + penalty * np.append(w[:-1], 0.0)
-            hessian = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty)
-            step = np.linalg.solve(hessian, gradient)
-            w -= step * min(1.0, 4.0 / (np.abs(step).max() + 1e-9))
-            if np.abs(step).max() < 1e-6:
-                break
-        if not len(active) or (w[:-1] > 0).all():
-            weights = np.zeros(x.shape[1])
-            weights[active] = w[:-1]
-            return weights, float(w[-1])
-        active = active[w[:-1] > 0]
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_entries: int = 96,
-                 min_texts: int = 4, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
+            chosen.append(gram)
+            of_entry.setdefault(core, []).append(hits)
+            for part in set(_parts(core)):
+                holding.setdefault(part, []).append(hits)
+    return chosen
+
+
+def _logistic(text: np.ndarray, entry: np.ndarray, rate: np.ndarray, n_entries: int, y: np.ndarray,
+              ridge: float = 2.0) -> tuple[np.ndarray, float]:
+    """Ridge logistic fit with weights of at least zero, from the ``rate`` of each ``entry`` in a ``text``.
+
+    Steps go down a separable bound of the loss, with momentum that starts anew when it points upwards, so an
+    entry costs as much as it has hits."""
+    n = len(y)
+    reach = np.bincount(text, rate, n) + 1.0
+    bound = 0.25 * np.append(np.bincount(entry, rate * reach[text], n_entries), reach.sum()) + np.append(
+        np.full(n_entries, ridge), 1e-3)
+    prior = (y.sum() + 0.5) / (n + 2)
+    w = ahead = np.append(np.zeros(n_entries), np.log(prior / (1 - prior)))
+    pace = 1.0
+    for _ in range(5000):
+        sums = np.bincount(text, rate * ahead[entry], n) + ahead[-1]
+        off = 1 / (1 + np.exp(-np.clip(sums, -30, 30))) - y
+        gradient = np.append(np.bincount(entry, rate * off[text], n_entries) + ridge * ahead[:-1], off.sum() + 1e-3 * ahead[-1])
+        new = ahead - gradient / bound
+        new[:-1] = np.maximum(new[:-1], 0.0)
+        step = new - w
+        if (gradient @ step) > 0:
+            pace = 1.0
+        later = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        w, ahead, pace = new, new + (pace - 1) / later * step, later
+        if np.abs(step).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, min_texts: int = 4,
+                 min_lift: float = 3.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
     """Learn the lexicon from labelled documents that are not held out."""
     chosen = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
@@ -194,23 +215,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000,
               .filter((F.col("toxic") >= min_texts)
                       & (F.col("toxic") * n_clean > 2 * F.col("clean") * n_toxic)))
     expected = (F.col("clean") + 0.5) * n_toxic / (n_clean + 1)
-    strongest = counts.orderBy(F.desc((F.col("toxic") - expected) / F.sqrt(expected + 1)), "gram").limit(4000)
-    patterns = _chosen([tuple(r) for r in strongest.collect()], n_toxic, n_clean, max_entries)
+    telling = counts.filter(F.col("toxic") - expected >= min_lift * F.sqrt(expected + 1))
+    patterns = _chosen([tuple(r) for r in telling.collect()], n_toxic, n_clean)
     if not patterns:
         return ToxicityModel(bias=float(np.log(n_toxic / n_clean)), exceptions=exceptions)
     model = ToxicityModel(tuple(patterns), (0.0,) * len(patterns), 0.0, exceptions)
-    shape = schema_of("label int, rates binary")
+    shape = schema_of("label int, entries binary, rates binary")
 
     def features(batches):
         automaton = model.automaton()
-        for batch in batches:
-            texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yield from arrow_batches(shape, ((y, model.rates(automaton, t).astype("<f4").tobytes())
-                                             for t, y in zip(texts, marks)))
-
-    sample = rows.mapInArrow(features, shape).collect()  # at most max_labelled rows of max_entries floats
-    x = np.array([np.frombuffer(r[1], "<f4") for r in sample], dtype=np.float64)
-    weights, bias = _logistic(x, np.array([r[0] for r in sample], dtype=np.float64))
+
+        def each():
+            for batch in batches:
+                for text, mark in zip(*batch.columns):
+                    rates = model.rates(automaton, text.as_py())
+                    own = np.flatnonzero(rates)
+                    yield mark.as_py(), own.astype("<i4").tobytes(), rates[own].astype("<f4").tobytes()
+        yield from arrow_batches(shape, each())
+
+    sample = rows.mapInArrow(features, shape).collect()  # at most max_labelled rows, of the entries they hold
+    entries = [np.frombuffer(r[1], "<i4") for r in sample]
+    weights, bias = _logistic(np.repeat(np.arange(len(sample)), [len(e) for e in entries]), np.concatenate(entries),
+                              np.concatenate([np.frombuffer(r[2], "<f4") for r in sample]).astype(float), len(patterns),
+                              np.array([r[0] for r in sample], dtype=float))
     kept = [i for i in range(len(patterns)) if weights[i] > 0]
     return ToxicityModel(tuple(patterns[i] for i in kept), tuple(float(weights[i]) for i in kept), bias, exceptions)
 

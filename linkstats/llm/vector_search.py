@@ -77,10 +77,11 @@ def _scan(best: _Best, ask_ids: np.ndarray, ask: np.ndarray, turned: np.ndarray,
           width: float) -> None:
     """Compare a block of queries with a block of vectors."""
     size = vectors.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1
-    scale = (length / (own * np.sqrt(size))).astype(np.float32)
-    estimates = turned @ (signs * scale[:, None]).T + middle[:, None].astype(np.float32)
-    slack = (length * np.sqrt(np.maximum(1 - own ** 2, 0)) / own * width / np.sqrt(max(size - 1, 1))).astype(np.float32)
+    signs = np.unpackbits(codes, axis=1, count=size) * 2.0 - 1
+    scale = length / (own * np.sqrt(size))
+    with np.errstate(over="ignore", invalid="ignore"):  # what leaves the range of doubles is reranked
+        estimates = turned @ (signs * scale[:, None]).T + middle[:, None]
+        slack = length * np.sqrt(np.maximum(1 - own ** 2, 0)) / own * width / np.sqrt(max(size - 1, 1))
     norms = np.linalg.norm(ask, axis=1)
     for q in range(len(ask)):
         def exact(at, q=q):
@@ -91,9 +92,9 @@ def _scan(best: _Best, ask_ids: np.ndarray, ask: np.ndarray, turned: np.ndarray,
             take = min(best.k + 1, len(ids))
             seen = np.argpartition(-estimates[q], take - 1)[:take]
             exact(seen)
-        # one part in a million for what single precision may lose
-        chosen = estimates[q] + slack * np.float32(norms[q] * 1.000001) >= best.bar(q) - 1e-6 * abs(best.bar(q) if
-                                                                                                  np.isfinite(best.bar(q)) else 0)
+        # a little for what rounding may lose; what is no number is not below the bar
+        bar = best.bar(q) - 1e-9 * abs(best.bar(q) if np.isfinite(best.bar(q)) else 0)
+        chosen = ~(estimates[q] + slack * (norms[q] * 1.000001) < bar)
         chosen[seen] = False
         if chosen.any():
             exact(np.flatnonzero(chosen))
@@ -123,7 +124,7 @@ def _search_block(index: DataFrame, ask_ids: np.ndarray, ask: np.ndarray, centre
     size = ask.shape[1]
 
     def rows(batches: Iterator) -> Iterator:
-        turned, middle = (ask @ rotation(size)).astype(np.float32), ask @ centre
+        turned, middle = ask @ rotation(size), ask @ centre
         best = _Best(len(ask), k)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):

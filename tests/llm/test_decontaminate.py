@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from linkstats.llm.decontaminate import _sum_rows, common_share, decontaminated, find_matches
 from tests.llm.helpers import prose
@@ -24,13 +25,15 @@ def test_leaks_are_found_and_clean_texts_stay(spark):
             words = [x for n, w in enumerate(words) for x in ([w, "indeed"] if n % 7 == 3 else [w])]  # and put in
         docs.append((1000 + i, prose(rng, 70, 3000) + "\n" + " ".join(words).upper() + " " + prose(rng, 90, 3000), ""))
         want.add((1000 + i, i))
-    docs += [(2000, None, ""), (2001, "", ""), (2002, prose(rng, 20_000, 3000), ""), (1000, items[0][1], "again"), (None, "w1", "")]
+    want.add((None, 4))
+    docs += [(None, prose(rng, 40, 3000) + " " + items[4][1], ""), (2000, None, ""), (2001, "", ""), (2002, prose(rng, 20_000, 3000), ""), (1000, items[0][1], "again"), (None, "w1", "")]
     df = spark.createDataFrame(docs, DOCS)
-    matches = find_matches(df, spark.createDataFrame(benchmark, "item_id long, text string"), max_share=0.2)
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    matches = find_matches(df, items, max_share=0.2)
     got = {(r.doc_id, r.item_id): r for r in matches.collect()}
     assert set(got) == want and all(r.lcs >= 0.6 and r.answer >= 0.5 for r in got.values())
-    kept = decontaminated(df, matches)
-    assert kept.columns == ["doc_id", "text", "item_id"] and kept.count() == len(docs) - 13
+    kept = decontaminated(df.withColumn("row", F.lit("a.b")).withColumnRenamed("item_id", "item.id"), items, max_share=0.2)
+    assert kept.columns == ["doc_id", "text", "item.id", "row"] and kept.count() == len(docs) - 14
 
 
 def test_empty_tables(spark):

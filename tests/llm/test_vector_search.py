@@ -55,3 +55,17 @@ def test_estimates_lie_within_their_bounds():
     bound = length * np.linalg.norm(q) * np.sqrt(1 - own ** 2) / own * 2.5 / np.sqrt(63)
     off = estimate - v @ q
     assert abs(off.mean()) < 0.2 and (np.abs(off) <= bound).mean() > 0.97
+
+
+def test_vectors_of_any_magnitude(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((240, 16)) * 10.0 ** rng.integers(-30, 31, 240)[:, None]
+    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(240)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0, k=5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 240, 20):
+        scores = (v * v[q]).sum(1)
+        hits += len(got[q] & {int(i) for i in [i for i in np.lexsort((np.arange(240), -scores)) if i != q][:5]})
+    assert hits >= 57
