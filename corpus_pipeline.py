@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkstats.llm.common import table
-from linkstats.llm.decontaminate import decontaminated, find_matches
+from linkstats.llm.decontaminate import decontaminated
 from linkstats.llm.line_dedup import dedup_lines
 from linkstats.llm.mixing import MIXTURE, mix
 from linkstats.llm.near_dedup import one_of_each
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminated(docs, find_matches(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
