@@ -13,8 +13,10 @@ The classifier learns from at most ``max_labelled`` labelled documents, chosen b
 Everything else covers all documents.
 
 Defined results: a null or empty text has no tokens and the prior as posterior. Without labelled rows
-there is one domain, ``all``, and every rate is one. A domain that ``targets`` leaves out has target 0.
-Targets that no rates can meet are met as nearly as the steps come. Labels with a null id or domain play
+there is one domain, ``all``, and every rate is one. A domain that ``targets`` leaves out has target 0. Targets are
+shares of the tokens wanted; that of a domain without documents stays unfilled and is not dealt to the others.
+Targets that no rates can meet are met as nearly as the steps come. ``shares`` tells what every domain of either
+side gets, and whether its target is met. Labels with a null id or domain play
 no part; of several labels of one document the largest counts. Repeated documents get equal rates.
 """
 
@@ -163,12 +165,31 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
     ``tokens_wanted``: expected tokens of the mixture, as a share of all tokens."""
     model = fit_domains(docs, labels, domain, max_labelled)
     members = stage(with_posterior(docs, model), "mix-members")
-    wanted = [targets.get(d, 0.0) for d in model.domains]
-    if model.domains == ["all"]:
-        wanted = [1.0]
-    if sum(wanted) <= 0:
+    wanted = targets if model.domains != ["all"] else {"all": 1.0}
+    if sum(wanted.get(d, 0.0) for d in model.domains) <= 0:
         raise ValueError(f"no target for any of the domains {model.domains}")
-    directions = solve_rates(members, [tokens_wanted * w / sum(wanted) for w in wanted])
+    whole = sum(wanted.values())
+    directions = solve_rates(members, [tokens_wanted * wanted.get(d, 0.0) / whole for d in model.domains])
     names = F.lit(model.domains)
     likeliest = F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     return members.withColumn("domain", likeliest).withColumn("rate", rate_column(F.col("posterior"), directions))
+
+
+def shares(mixed: DataFrame, domains: list[str], targets: dict[str, float], tokens_wanted: float = 1.0,
+           tolerance: float = 1e-3) -> DataFrame:
+    """domain, target, share, met: of the tokens of all documents, what each domain should get, what it gets by the
+    rates of ``mix``, and whether that is within ``tolerance``. ``domains`` are those of ``fit_domains``; domains of
+    ``targets`` beyond them have no documents and get nothing."""
+    names = [*domains, *sorted(set(targets) - set(domains))]
+    whole = sum(targets.values()) or 1.0
+    of_domain = F.transform(F.lit(list(range(len(domains)))), lambda d: F.struct(d.alias("d"), (
+        F.col("tokens") * F.col("rate") * F.get("posterior", d)).alias("drawn")))
+    got = mixed.select(F.explode(of_domain).alias("x")).groupBy("x.d").agg(F.sum("x.drawn").alias("drawn"))
+    total = mixed.agg(F.sum("tokens").alias("tokens"))
+    wanted = mixed.sparkSession.createDataFrame(
+        [(i, name, tokens_wanted * targets.get(name, 0.0) / whole) for i, name in enumerate(names)],
+        "d int, domain string, target double")
+    share = F.coalesce(F.try_divide("drawn", "tokens"), F.lit(0.0))
+    # one row of totals, and a row for each domain
+    return wanted.join(got, "d", "left").join(F.broadcast(total)).select(
+        "domain", "target", share.alias("share"), (F.abs(share - F.col("target")) <= tolerance).alias("met"))

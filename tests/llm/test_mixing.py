@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from linkstats.llm.mixing import _inverse, mix, rate_column, solve_rates
+from linkstats.llm.mixing import QUALITY_DOMAIN, _inverse, fit_domains, mix, rate_column, shares, solve_rates
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, rate string"
@@ -45,6 +45,18 @@ def test_classifier_edges_and_columns(spark):
     assert empty.tokens == 0 and abs(empty.posterior[0] - 21 / 31) < 1e-6  # document 5 occurs twice
 
 
+def test_a_target_without_documents_stays_unfilled(spark):
+    docs = spark.createDataFrame([(i, "fine words here " * 9 if i % 2 else "zz%% qq%% " * 9, "") for i in range(80)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS)
+    targets = {"good": 0.2, "poor": 0.1, "toxic": 0.7}
+    model = fit_domains(docs, labels, QUALITY_DOMAIN)
+    got = {r.domain: (r.target, r.share, r.met) for r in shares(mix(docs, labels, targets), model.domains, targets).collect()}
+    assert got["toxic"] == (0.7, 0.0, False)
+    assert abs(got["good"][1] - 0.2) < 1e-3 and abs(got["poor"][1] - 0.1) < 1e-3 and got["good"][2] and got["poor"][2]
+    none = shares(mix(docs.limit(0), labels, targets), model.domains, targets).collect()
+    assert [(r.share, r.met) for r in none] == [(0.0, False)] * 3
+
+
 def test_no_labels_no_documents_no_targets(spark):
     docs, labels = spark.createDataFrame([(1, "a b", "")], DOCS), spark.createDataFrame([(1, 1, 0)], LABELS)
     row = mix(docs, labels.limit(0), {"good": 1.0}).first()
