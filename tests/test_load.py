@@ -285,6 +285,22 @@ def test_samples_keep_line_order(spark, tmp_path):
     assert (got[5].app_cpu, got[5].app_pss) == (None, 1048576)
 
 
+@pytest.mark.parametrize("split_bytes", [64, 400, 1 << 20])
+def test_line_numbers_are_the_same_for_every_split_size(spark, tmp_path, split_bytes):
+    head = "DTM\tCPU\tTOTAL\tAVAIL" + "\tNAME\tCPU\tPSS" * 4 + "\n"
+    for name, n in (("one", 57), ("two", 1), ("none", 0), ("three", 200)):
+        put(tmp_path / f"{name}.txt", head + "".join(f"{i}\t{i}.0\t{'9' * (i % 15 + 1)}\t50\t(no-app)" + "\t" * 11 + "\n"
+                                                     for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        got = samples.read_samples(spark, str(tmp_path)).select("recording", "line_no", "ts").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 258 and all(r.line_no == int(r.ts) + 1 for r in got)
+
+
 def test_report_lines(spark):
     df = spark.createDataFrame([("idle", "cpu", 3, 1.5)], "category string, key string, cnt bigint, avr double")
     assert report_lines(df, df.columns).first()[0] == "idle\tcpu\t3\t1.500000"
