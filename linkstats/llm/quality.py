@@ -7,8 +7,9 @@ These posterior labels train a logistic scorer over hashed byte trigrams, which
 which the labellers are silent.
 
 The votes of all documents are counted by pattern (at most 3 to the power of the number of labellers,
-whatever the input), and EM runs over these counts. The scorer is trained over all documents: in every
-round each task improves the weights on its own documents and Spark averages them by number of documents.
+whatever the input), and EM runs over these counts. The scorer is trained over all documents: in every pass
+tasks add up the gradient over their documents, Spark adds up the tasks' sums, and one quasi-Newton step is taken.
+Scores do not depend on how documents are partitioned, but for the last digits.
 
 Defined results: a null text is an empty one; labellers for traits that a short text cannot show stay
 silent on it. Without any document there are no rows and nothing is learned. Repeated documents are
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from linkstats.llm.common import arrow_batches, schema_of, stage
 
+TEXTS_AT_ONCE, SHRINK, FLOOR, FIRST_REACH = 128, 1e-6, 1e-3, 1 / 32
 BUCKETS = 1 << 12
 GOOD, BAD, SILENT = "1", "0", "-"
 
@@ -143,39 +145,76 @@ def features(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _improve(weights: np.ndarray, x: np.ndarray, y: np.ndarray, squares: np.ndarray, rate: float) -> None:
-    """One Adagrad step of the logistic loss on a batch."""
-    p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-    gradient = x.T @ (p - y) / len(y) + 1e-6 * weights
-    squares += gradient ** 2
-    weights -= rate * gradient / np.sqrt(squares + 1e-10)
+def _loss(marked: DataFrame, labels: dict[str, float], weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean logistic loss over all texts, its gradient, and the curvature along every bucket.
 
+    Tasks add up their texts; sums are taken in double precision, so the way the texts are dealt to tasks changes
+    the last digits only."""
+    schema = schema_of("bucket int, gradient double, curvature double")
 
-def train_scorer(marked: DataFrame, labels: dict[str, float], rounds: int = 2, batch_size: int = 128,
-                 rate: float = 0.2) -> np.ndarray:
-    """Weights of the scorer, trained on every text with the posterior of its votes as label."""
+    def rows(batches: Iterator) -> Iterator:
+        gradient, curvature, loss, n = np.zeros(len(weights)), np.zeros(len(weights)), 0.0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                x = features(batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist()).astype(float)
+                y = np.array([labels[v] for v in batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist()])
+                sums = x @ weights
+                p = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
+                gradient += (p - y) @ x
+                curvature += (p * (1 - p)) @ np.square(x, out=x)
+                loss += float((np.logaddexp(0, sums) - y * sums).sum())
+                n += len(y)
+        held = np.flatnonzero(curvature)
+        yield from arrow_batches(schema, [(int(j), float(gradient[j]), float(curvature[j])) for j in held] + [(-1, loss, float(n))],
+                                 65536)
+
+    gradient, curvature, loss, n = np.zeros(len(weights)), np.zeros(len(weights)), 0.0, 0.0
+    for bucket, g, c in marked.mapInArrow(rows, schema).groupBy("bucket").agg(  # one row per bucket
+            F.sum("gradient"), F.sum("curvature")).collect():
+        if bucket < 0:
+            loss, n = g, c
+        else:
+            gradient[bucket], curvature[bucket] = g, c
+    n = max(n, 1.0)
+    return loss / n + SHRINK / 2 * weights @ weights, gradient / n + SHRINK * weights, curvature / n + SHRINK
+
+
+def _towards(gradient: np.ndarray, scale: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Quasi-Newton direction from the last steps and changes of the gradient (L-BFGS)."""
+    rest, kept = gradient.copy(), []
+    for step, change in reversed(steps):
+        share = step @ rest / (step @ change)
+        rest -= share * change
+        kept.append(share)
+    rest *= scale
+    for (step, change), share in zip(steps, reversed(kept)):
+        rest += (share - change @ rest / (step @ change)) * step
+    return -rest
+
+
+def train_scorer(marked: DataFrame, labels: dict[str, float], passes: int = 12) -> np.ndarray:
+    """Weights of the scorer, fitted on every text with the posterior of its votes as label.
+
+    Each pass sums the gradient over all texts, and the step is taken once, on the driver, so the result does not
+    depend on how the texts are partitioned."""
     weights = np.zeros(BUCKETS + 1)
-    schema = schema_of("bucket int, total double, n long")
-    for _ in range(rounds):
-        start = weights
-
-        def rows(batches: Iterator, start=start) -> Iterator:
-            own, squares, n = start.copy(), np.zeros_like(start), 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, batch_size):
-                    texts = batch.column(0).slice(at, batch_size).to_pylist()
-                    y = np.array([labels[v] for v in batch.column(1).slice(at, batch_size).to_pylist()])
-                    x = features(texts)
-                    for _ in range(3):
-                        _improve(own, x, y, squares, rate)
-                    n += len(texts)
-            if n:
-                yield from arrow_batches(schema, ((j, float(own[j] * n), n) for j in range(len(own))), 65536)
-
-        for bucket, total, n in (marked.mapInArrow(rows, schema).groupBy("bucket")
-                                 .agg(F.sum("total"), F.sum("n")).collect()):  # one row per bucket
-            weights = weights.copy() if weights is start else weights
-            weights[bucket] = total / n
+    loss, gradient, curvature = _loss(marked, labels, weights)
+    scale = 1 / (curvature + FLOOR)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    ahead, reach = _towards(gradient, scale, steps), FIRST_REACH
+    for _ in range(passes - 1):
+        new = weights + reach * ahead
+        new_loss, new_gradient, _ = _loss(marked, labels, new)
+        if new_loss > loss + 1e-4 * reach * (gradient @ ahead):  # too far
+            reach /= 4
+            continue
+        step, change = new - weights, new_gradient - gradient
+        if step @ change > 1e-12 * (change @ change):
+            steps = [*steps[-7:], (step, change)]
+        weights, loss, gradient = new, new_loss, new_gradient
+        ahead, reach = _towards(gradient, scale, steps), 1.0
+        if np.abs(gradient).max() < 1e-7:
+            break
     return weights
 
 

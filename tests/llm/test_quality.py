@@ -2,7 +2,10 @@
 
 import random
 
-from linkstats.llm.quality import BAD, GOOD, SILENT, posteriors, quality, vote_counts, votes, with_votes
+import numpy as np
+
+from linkstats.llm.quality import (BAD, BUCKETS, GOOD, SHRINK, SILENT, _loss, features, posteriors, quality, vote_counts,
+                                   votes, with_votes)
 from tests.llm.helpers import prose
 
 DOCS = "doc_id long, text string, score string"
@@ -41,6 +44,34 @@ def test_scores_rank_good_above_bad_and_edges(spark):
     assert quality(df.limit(0)).count() == 0
 
 
+def some_docs(n=150):
+    rng = random.Random(7)
+    texts = [". ".join(prose(rng, 9).capitalize() for _ in range(rng.randrange(1, 9))) + "." for _ in range(n)]
+    return [(i, t.upper().replace(" ", "!! ") if i % 3 == 0 else t, "") for i, t in enumerate(texts)]
+
+
+def test_loss_and_gradient_against_one_machine(spark):
+    marked = with_votes(spark.createDataFrame(some_docs(), DOCS).repartition(5))
+    rng = np.random.default_rng(1)
+    labels = {r.pattern: rng.random() for r in marked.select("pattern").distinct().orderBy("pattern").collect()}
+    weights = rng.standard_normal(BUCKETS + 1)
+    loss, gradient, curvature = _loss(marked, labels, weights)
+    rows = marked.collect()
+    x = features([r.text for r in rows]).astype(float)
+    y = np.array([labels[r.pattern] for r in rows])
+    p = 1 / (1 + np.exp(-x @ weights))
+    plain = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + SHRINK / 2 * weights @ weights
+    assert abs(loss - plain) < 1e-9
+    assert np.abs(gradient - ((p - y) @ x / len(y) + SHRINK * weights)).max() < 1e-12
+    assert np.abs(curvature - ((p * (1 - p)) @ x ** 2 / len(y) + SHRINK)).max() < 1e-12
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame(some_docs(), DOCS)
+    one, many = ({r.doc_id: r.score for r in quality(df.repartition(n)).collect()} for n in (1, 64))
+    assert max(abs(one[i] - many[i]) for i in one) < 1e-9
+
+
 def test_votes_of_short_texts():
     assert len({len(votes(t)) for t in (None, "", " ", "one", "one two three " * 30)}) == 1
     assert votes(None) == votes("") and set(votes("!")) <= {GOOD, BAD, SILENT}
