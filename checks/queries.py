@@ -291,23 +291,23 @@ def topic_messages(spark, sf):
 
 # --- sinks ----------------------------------------------------------------------------------
 
-def write_raw_campaign(spark: SparkSession, sf: str, root: str) -> None:
+def write_raw_campaign(spark: SparkSession, sf: str, root: str, chosen: Column | None = None) -> None:
     """Result files of the role tables, named and laid out as the probes leave them: per schedule one log of
     addresses, one of modem states, and the pings of each tool and half of the month."""
     half = F.when(F.dayofmonth("run_dtm") < 16, "20240108").otherwise("20240122")
     number = F.regexp_extract("if_name", r"(\d+)", 1)
-    pings = roles.probes(spark, sf).select(
+    runs, states = (frame if chosen is None else frame.where(chosen) for frame in (roles.probes(spark, sf), roles.states(spark, sf)))
+    pings = runs.select(
         F.col("sched_id").alias("folder"), F.concat("run_tool", F.lit("-"), half, F.lit("-120000.txt")).alias("file"),
         F.concat_ws("\t", "run_tool", "event_id", F.concat(F.lit("10.0.0."), number), F.lit("server"), F.lit("1235"),
                     "ping_type", F.format_string("%.9f", "rtt")).alias("value"))
-    states = roles.states(spark, sf)
     record = F.to_json(F.struct(
         F.col("iif_name").alias("InternalInterface"), (F.unix_micros("ts") / 1e6).alias("Timestamp"),
         F.col("seq_no").alias("SequenceNumber"), F.col("dev_mode").alias("DeviceMode"),
         (F.lit(24000) + F.regexp_extract("iif_name", r"(\d+)", 1).cast("int")).alias("IMSIMCCMNC")))
     lines = states.select(F.col("sched_id").alias("folder"), F.lit("metadata-20240101-000000.txt").alias("file"),
                           record.alias("value"))
-    addresses = roles.probes(spark, sf).select(
+    addresses = runs.select(
         F.col("sched_id").alias("folder"), F.lit("policyd-20240101-000000.txt").alias("file"),
         F.format_string("up [interface|%s] [local_ip|10.0.0.%s]", "if_name", number).alias("value")).distinct()
     (pings.union(lines).union(addresses).repartition("folder", "file").write.partitionBy("folder", "file")
@@ -319,19 +319,18 @@ def write_raw_campaign(spark: SparkSession, sf: str, root: str) -> None:
         file, folder = at.getParent().getName()[5:], at.getParent().getParent().getName()[7:]
         files.mkdirs(path(f"{root}/{folder}"))
         files.rename(at, path(f"{root}/{folder}/{file}"))
+    nodes = F.map_from_entries(F.collect_list(F.struct(
+        F.col("sched_id").cast("string"), F.struct(F.col("node_id").alias("nodeid")))))
+    (runs.select("exp_id", "sched_id", "node_id").distinct().groupBy("exp_id").agg(nodes.alias("schedules"))
+     .select(F.to_json(F.struct(F.col("exp_id").alias("id"), "schedules")).alias("value"))
+     .repartition("value").write.option("maxRecordsPerFile", 1).text(f"{root}/config"))
 
 
 @query("o_k1")
 def stored_facts(spark, sf):
     folder = scratch_dir(spark, "campaign")
     write_raw_campaign(spark, sf, f"{folder}/raw")
-    ids = roles.probes(spark, sf).select("exp_id", "sched_id", "node_id").distinct()
-    nodes = F.map_from_entries(F.collect_list(F.struct(
-        F.col("sched_id").cast("string"), F.struct(F.col("node_id").alias("nodeid")))))
-    (ids.groupBy("exp_id").agg(nodes.alias("schedules"))
-     .select(F.to_json(F.struct(F.col("exp_id").alias("id"), "schedules")).alias("value"))
-     .repartition("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/config"))
-    published = load.load_campaign(spark, f"{folder}/config/*.txt", f"{folder}/raw", f"{folder}/tables")
+    published = load.load_campaign(spark, f"{folder}/raw/config/*.txt", f"{folder}/raw", f"{folder}/tables")
     pings, states = (published.table(spark, name) for name in ("tcp_ping", "metadata"))
     return pings.groupBy("exp_id").agg(
         F.count("*").alias("cnt"), F.count("m_ts").alias("with_state"),
