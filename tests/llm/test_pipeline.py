@@ -90,8 +90,8 @@ def test_held_out_accuracy(spark):
 
 def test_every_operator_has_a_query():
     names = set(queries.all_queries())
-    assert len(names) == 11 and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names - {"pipeline"}) == list(range(1, 11))
+    assert len(names) == 14 and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names - {"pipeline"}) == list(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
