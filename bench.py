@@ -70,8 +70,8 @@ def main() -> None:
     raw = roles.campaign(spark, SF_DIR)
     folder = scratch_dir(spark, "bench")
 
-    # Result files of the first hundred schedules: several hundred small files, read, checked and published.
-    write_raw_campaign(spark, SF_DIR, f"{folder}/raw", F.col("sched_id") < 100)
+    # Result files of twenty schedules: small files, read, checked and published.
+    write_raw_campaign(spark, SF_DIR, f"{folder}/raw", F.col("sched_id") < 20)
     steps["load_campaign"] = lambda: load_campaign(spark, f"{folder}/raw/config/*.txt", f"{folder}/raw", f"{folder}/loaded")
 
     def store_facts(target=f"{folder}/again"):
