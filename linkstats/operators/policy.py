@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkstats.session import scratch_dir
+
 STATE_READINGS = ("device_mode", "rssi", "lte_rsrp", "lte_rsrq", "dlb_quality")
 
 ALWAYS = ""  # name of a reading that every state has
@@ -25,6 +27,16 @@ ALWAYS = ""  # name of a reading that every state has
 #: Distinct range ends and texts of one name. They become part of the plan.
 MOST_ENDS = 100_000
 
+#: Pairs of a state and a rule that one task may have to keep apart, at most.
+PAIRS_A_TASK = 1_000_000
+
+
+def _stored(frame: DataFrame, label: str) -> DataFrame:
+    """The frame, computed once and read back, so that Spark knows its size when it picks a join."""
+    folder = scratch_dir(frame.sparkSession, label)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
 
 def _place(sorted_values: Sequence, value: Column) -> tuple[Column, Column]:
     """How many of the values are less than ``value``, and whether it is one of them, by binary search."""
@@ -126,16 +138,19 @@ def rule_scores(states: DataFrame, rules: DataFrame, keys: Sequence[str],
 
     States are shuffled once, before their slots are laid out one per row. As long as
     Spark can broadcast the rules, putting them back together by state needs no further
-    shuffle.
+    shuffle. Rules are stored first: what they are derived from may be large where they are
+    few. States are dealt out to so many tasks that the sums of each stay in memory.
     """
-    entries = _entries(rules)
+    entries = _stored(_entries(rules), "rule_entries")
     slots = slots_of(entries, readings)
+    held = _stored(held_rules(entries, slots), "held_rules")
+    pairs = states.count() * held.select(F.count_distinct("uid")).first()[0]
     cells = F.array_compact(F.array(
         F.struct(F.lit(ALWAYS).alias("name"), F.lit(0).cast("bigint").alias("slot")), *[
             F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("name"), slots[name].of_reading(name).alias("slot")))
             for name in readings if name in slots]))
-    long = states.repartition(*keys).select(*keys, F.explode(cells).alias("c")).select(*keys, "c.name", "c.slot")
-    scored = long.join(held_rules(entries, slots), ["name", "slot"]).groupBy(*keys, "uid", "needed").agg(
+    long = states.repartition(1 + pairs // PAIRS_A_TASK, *keys).select(*keys, F.explode(cells).alias("c")).select(*keys, "c.name", "c.slot")
+    scored = long.join(held, ["name", "slot"]).groupBy(*keys, "uid", "needed").agg(
         F.sum("met").alias("met"), F.sum("score").alias("score"))
     return scored.where("met = needed").select(*keys, "uid", "score")
 

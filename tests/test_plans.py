@@ -96,3 +96,17 @@ def test_overhead_reads_samples_once_and_aggregates_by_hash(no_broadcast):
     assert "SortAggregate" not in trimmed and "LeftAnti" not in trimmed
     for name in ("o_f10", "o_a21"):
         assert "SortAggregate" not in plan(queries.all_queries()[name](no_broadcast, SF)), name
+
+
+def test_few_rules_out_of_a_large_source_reach_the_states_without_a_shuffle_of_slots(spark, monkeypatch):
+    """States are shuffled once, into as many tasks as their pairs with rules ask for."""
+    monkeypatch.setattr(policy, "PAIRS_A_TASK", 100)
+    source = spark.range(20_000_000).select((F.col("id") % 3).alias("n")).distinct()     # looks large to Spark
+    rules = source.select(F.concat(F.lit("r"), "n").alias("uid"), F.lit("property").alias("role"), F.lit("rssi").alias("name"),
+                          F.lit(0.0).alias("lo"), F.col("n").cast("double").alias("hi"), F.lit(1.0).alias("score"))
+    states = spark.range(400).select("id", (F.col("id") % 5).alias("rssi"))
+    scores = policy.state_scores(states, rules, ["id"], ["rssi"])
+    text = plan(scores)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\d+)\), (\w+)", text) == [("id", "13", "REPARTITION_BY_NUM")]
+    assert scores.groupBy("rules").agg(F.sum("score")).collect() == [(3, 480.0)]
