@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkstats import schemas
-from linkstats.sources.files import DOWNLOAD_NAME, PING_NAME, with_run_identity
+from linkstats.sources.files import DOWNLOAD_NAME, PING_NAME, shared_listing, with_run_identity
 
 
 def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType, glob: str | None = None) -> DataFrame:
@@ -15,7 +15,8 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: T.StructType, g
               .option("mode", "FAILFAST").option("recursiveFileLookup", True))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.csv(path)
+    with shared_listing(spark):
+        return reader.csv(path)
 
 
 def _read_runs(spark: SparkSession, root: str | list[str], schema: T.StructType, name: str, glob: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
+from checks import queries
 from linkstats import schemas
 from linkstats.operators.keys import DuplicateKeyError
 from linkstats.plans import reports
@@ -16,7 +17,7 @@ from linkstats.session import scratch_dir
 from linkstats.sinks import versions
 from linkstats.sinks.tables import report_lines
 from linkstats.sinks.versions import TableStore
-from linkstats.sources import configs, files, policies, samples
+from linkstats.sources import configs, files, logs, policies, probes, samples
 from linkstats.sources.experiments import experiment_dimension, read_experiment_configs
 
 LOG = ("noise line\n2024 x [interface|op0] [local_ip|10.0.0.1] y\n"
@@ -304,3 +305,53 @@ def test_line_numbers_are_the_same_for_every_split_size(spark, tmp_path, split_b
 def test_report_lines(spark):
     df = spark.createDataFrame([("idle", "cpu", 3, 1.5)], "category string, key string, cnt bigint, avr double")
     assert report_lines(df, df.columns).first()[0] == "idle\tcpu\t3\t1.500000"
+
+
+def most_tasks(spark, work):
+    """Tasks of the largest stage that ``work`` runs."""
+    spark.sparkContext.setJobGroup(work.__name__, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(work.__name__) for s in tracker.getJobInfo(j).stageIds]
+    return max(s.numTasks for s in stages if s)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    for n in range(60):
+        put(tmp_path / f"{n}" / "metadata-20240101-000000.txt", "{}\n")
+        put(tmp_path / f"{n}" / "tcp-ping-20240101-000000.txt", "")
+    monkeypatch.setattr(files, "LISTING_TASKS", 3)
+    before, folders = spark.conf.get(files.LISTING), [str(tmp_path / f"{n}") for n in range(60)]
+    found = []
+
+    def list_lines():
+        found.append(files.read_result_lines(spark, folders, "metadata", "metadata-*.txt*"))
+
+    def list_pings():
+        probes.read_pings(spark, folders)
+
+    assert most_tasks(spark, list_lines) == 3 and most_tasks(spark, list_pings) == 3
+    assert found[0].select("sched_id").distinct().count() == 60 and spark.conf.get(files.LISTING) == before
+
+
+def test_raw_campaign_is_written_by_many_tasks_under_the_names_of_its_files(spark, tmp_path):
+    rows = [(n, datetime(2024, 1, 10 + n % 10), n % 4, ("view", "click", "error")[n % 3], 1.0 * n, '{"k": %d}' % n) for n in range(48)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+                          ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    root = tmp_path / "raw"
+
+    def write():
+        queries.write_raw_campaign(spark, str(tmp_path), str(root))
+
+    write_tasks = most_tasks(spark, write)
+    assert write_tasks == 8                                          # spark.sql.shuffle.partitions, not merged by size
+    names = {(p.parent.name, p.name[:p.name.index(".txt") + 4]) for p in root.glob("[0-9]*/[!._]*")}
+    assert {f for f, _ in names} == {"0", "1", "2", "3"}
+    assert {n for _, n in names} == {"metadata-20240101-000000.txt", "policyd-20240101-000000.txt",
+        "tcp-ping-20240108-120000.txt", "t-tcp-ping-20240108-120000.txt", "tcp-ping-20240122-120000.txt",
+        "t-tcp-ping-20240122-120000.txt"}
+    assert probes.read_pings(spark, [str(root / f"{n}") for n in range(4)]).count() == 32
+    assert logs.read_metadata_log(spark, [str(root / f"{n}") for n in range(4)]).count() == 16
