@@ -222,6 +222,18 @@ def test_timers_close_states_of_a_quiet_key(spark, rows):
     assert rows(spark.read.parquet(f"{folder}/out"), "seq_no", "span") == [(1, 5.0)]
 
 
+def test_a_key_with_late_states_only(spark, rows):
+    """Nothing of such a key waits; more of it may come later, late again or in time."""
+    folder = scratch_dir(spark, "spans")
+    everything = feed(spark, folder, start_to(folder), [
+        [state("a", 0, 1), state("a", 100, 2)], [state("b", 3, 3), state("b", 1, 4), state("a", 120, 5)],
+        [state("b", 5, 6), state("b", 115, 7), state("a", 130, 8)], [state("b", 118, 9), state("b", 125, 10), state("a", 160, 11)]])
+    out = spark.read.parquet(f"{folder}/out")
+    assert rows(out.where("late = 1"), "seq_no", "span") == [(3, None), (4, None), (6, None), (9, None)]
+    assert rows(out.where("late = 0"), "seq_no", "span") == [(1, 100.0), (2, 20.0), (5, 10.0), (7, 10.0)]
+    assert rows(waiting_states(everything, f"{folder}/cp", "ts"), "seq_no") == [(10,), (11,), (8,)]
+
+
 SAMPLES = "ts timestamp, k string, v double"
 
 
