@@ -92,3 +92,36 @@ def test_an_anchor_with_many_contents_is_split(spark, monkeypatch):
     assert all(size <= 4000 for size in sizes)
     got = remove_repeats(df, depth=80).collect()
     assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got), key=repr) == expected(rows, 80)
+
+
+def test_the_segments_of_a_hot_anchor_are_split(spark, monkeypatch):
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefgh") for _ in range(50))
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(90)), 0) for i in range(400)]
+    rows += [(1000 + i, line * 40, 0) for i in range(100)]  # one line holds most of the segments
+    plans = {}
+
+    def kept(df, label):
+        out = stage(df, label)
+        again = df.filter(F.lit(True))
+        again.collect()
+        plans[label] = again._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    stage = suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", kept)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = remove_repeats(spark.createDataFrame(rows, DOCS).repartition(20), depth=80).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "skew=true" in plans["suffix-shared"]
+    assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in got), key=repr) == expected(rows, 80)
