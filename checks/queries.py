@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -291,6 +295,31 @@ def topic_messages(spark, sf):
 
 # --- sinks ----------------------------------------------------------------------------------
 
+def _file_writer(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes lines (folder, file, value; sorted) as files below ``root`` and gives their number.
+
+    Spark's writers choose file names themselves and take a write for each name and a rename for each folder. A
+    task that is run again writes its files anew."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(root)
+        last, out, files = (None, None), None, 0
+        for batch in batches:
+            rows = zip(*(batch.column(name).to_pylist() for name in ("folder", "file", "value")))
+            for at, lines in groupby(rows, itemgetter(0, 1)):
+                if out is None or at != last:
+                    if out is not None:
+                        out.close()
+                    folder = f"{base}/{'__HIVE_DEFAULT_PARTITION__' if at[0] is None else at[0]}"
+                    if out is None or at[0] != last[0]:
+                        store.create_dir(folder)
+                    last, out, files = at, store.open_output_stream(f"{folder}/{at[1]}"), files + 1
+                out.write("".join(f"{line or ''}\n" for _, _, line in lines).encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+    return write
+
+
 def write_raw_campaign(spark: SparkSession, sf: str, root: str, chosen: Column | None = None) -> None:
     """Result files of the role tables, named and laid out as the probes leave them: per schedule one log of
     addresses, one of modem states, and the pings of each tool and half of the month."""
@@ -310,19 +339,11 @@ def write_raw_campaign(spark: SparkSession, sf: str, root: str, chosen: Column |
     addresses = runs.select(
         F.col("sched_id").alias("folder"), F.lit("policyd-20240101-000000.txt").alias("file"),
         F.format_string("up [interface|%s] [local_ip|10.0.0.%s]", "if_name", number).alias("value")).distinct()
-    # Spark names files of one write alike, so each kind of file is a write of its own. The number of tasks is given, as
-    # it is the files that take the time and not their few bytes; tasks put them in place themselves.
+    # The number of tasks is given, as it is the files that take the time and not their few bytes.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for kind in (pings, lines, addresses):
-        for file in sorted(r.file for r in kind.select("file").distinct().collect()):
-            (kind.where(F.col("file") == file).select("folder", "value").repartition(tasks, "folder").write.mode("append")
-             .option("mapreduce.output.basename", file).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-             .partitionBy("folder").text(f"{root}/parts"))
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in files.globStatus(path(f"{root}/parts/folder=*")):
-        at = status.getPath()
-        files.rename(at, path(f"{root}/{at.getName()[7:]}"))
+    lines = pings.unionByName(lines).unionByName(addresses)
+    (lines.repartition(tasks, "folder").sortWithinPartitions("folder", "file")
+     .mapInArrow(_file_writer(root), "files bigint").agg(F.sum("files")).collect())
     nodes = F.map_from_entries(F.collect_list(F.struct(
         F.col("sched_id").cast("string"), F.struct(F.col("node_id").alias("nodeid")))))
     (runs.select("exp_id", "sched_id", "node_id").distinct().groupBy("exp_id").agg(nodes.alias("schedules"))

@@ -1,7 +1,7 @@
 """Load a campaign's raw result files into the fact and state tables.
 
-The listed schedules are read in one distributed scan per file kind; ``sched_id``
-is a column like any other. Folders of other schedules are not opened.
+A load reads the files of the listed schedules once and keeps their lines in a scratch folder;
+``sched_id`` is a column like any other. Folders of other schedules are not opened.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from linkstats import schemas
 from linkstats.operators.asof import asof_join
 from linkstats.operators.enrich import with_interface, with_span
 from linkstats.operators.keys import unique_mapping
+from linkstats.session import remove_scratch, scratch_dir
 from linkstats.sinks.versions import Published, TableStore
+from linkstats.sources import files
 from linkstats.sources.experiments import read_experiment_configs
-from linkstats.sources.files import folders_of
 from linkstats.sources.logs import read_metadata_log, read_policy_log
 from linkstats.sources.probes import read_downloads, read_pings
 
+RESULT_FILES = {files.PING_NAME: files.PING_GLOB, files.METADATA_NAME: f"{files.METADATA_NAME}-*.txt*",
+                files.POLICY_LOG_NAME: f"{files.POLICY_LOG_NAME}-*.txt*", files.DOWNLOAD_NAME: files.DOWNLOAD_GLOB}
 TABLE_KEYS = {"tcp_ping": schemas.PROBE_KEY, "dwnl_test": schemas.PROBE_KEY,
               "metadata": schemas.METADATA_KEY}
 
@@ -50,18 +53,20 @@ Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def campaign_tables(spark: SparkSession, config: str, root: str, personal: str = "drop",
-                    keep: Keep = lambda frame, name: frame) -> dict[str, DataFrame]:
+                    keep: Keep = lambda frame, name: frame, scratch: str | None = None) -> dict[str, DataFrame]:
     """The three tables of all schedules named in the experiment configs.
 
     Probes get ids, interface and operator lookups, and the time of their state. ``keep`` may
     store a table as soon as it is known; probes then look up the states that it gives back.
-    A listed schedule without a folder has no rows.
+    A listed schedule without a folder has no rows. With ``scratch``, a new folder, every file is read
+    once and now, and the tables come from the lines kept there; else files are read whenever a table is.
     """
     schedules = read_experiment_configs(spark, config)
-    folders = folders_of(spark, root, schedules)
-    spans = with_span(read_metadata_log(spark, folders).join(schedules, "sched_id"))
+    folders = files.folders_of(spark, root, schedules)
+    found = folders if scratch is None else files.store_result_lines(spark, folders, scratch, RESULT_FILES)
+    spans = with_span(read_metadata_log(spark, found).join(schedules, "sched_id"))
     states = keep(shielded(spans, personal).select(*schemas.METADATA.names), "metadata")
-    listed = read_policy_log(spark, folders).join(schedules.select("sched_id").distinct(), "sched_id", "left_semi")
+    listed = read_policy_log(spark, found).join(schedules.select("sched_id").distinct(), "sched_id", "left_semi")
     addresses, operators = address_map(listed), operator_map(states)
 
     def facts(raw: DataFrame, name: str, columns: list[str]) -> DataFrame:
@@ -70,8 +75,8 @@ def campaign_tables(spark: SparkSession, config: str, root: str, personal: str =
                               "run_dtm", "ts", {"m_ts": "ts"}).select(*columns), name)
 
     return {
-        "tcp_ping": facts(read_pings(spark, folders), "tcp_ping", schemas.TCP_PING.names),
-        "dwnl_test": facts(read_downloads(spark, folders), "dwnl_test", schemas.DWNL_TEST.names),
+        "tcp_ping": facts(read_pings(spark, found), "tcp_ping", schemas.TCP_PING.names),
+        "dwnl_test": facts(read_downloads(spark, found), "dwnl_test", schemas.DWNL_TEST.names),
         "metadata": states,
     }
 
@@ -86,10 +91,14 @@ def load_campaign(spark: SparkSession, config: str, root: str, target: str,
     ``Campaign.from_tables`` needs it.
     """
     listed = read_experiment_configs(spark, config).select("exp_id").distinct().collect()
-    store = TableStore(spark, target)
+    store, scratch = TableStore(spark, target), scratch_dir(spark, "result-lines")
     with store.load(f"exp_id={r.exp_id}" for r in listed) as load:
-        campaign_tables(spark, config, root, personal,
-                        lambda frame, name: load.write(name, frame, TABLE_KEYS[name], "exp_id"))
+        try:
+            with files.small_files(spark):
+                campaign_tables(spark, config, root, personal,
+                                lambda frame, name: load.write(name, frame, TABLE_KEYS[name], "exp_id"), scratch)
+        finally:
+            remove_scratch(spark, scratch)
         if experiments is not None:
             load.write("experiment", experiments, schemas.EXPERIMENT_KEY)
     return load.published

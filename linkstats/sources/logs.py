@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkstats import schemas
 from linkstats.functions.times import epoch_timestamp
-from linkstats.sources.files import METADATA_NAME, POLICY_LOG_NAME, read_result_lines
+from linkstats.sources.files import METADATA_NAME, POLICY_LOG_NAME, Root, read_result_lines
 
 # How a log line names an address and its interface.
 LOCAL_IP = r"\[local_ip\|(\d+[.]\d+[.]\d+[.]\d+)\]"
@@ -22,7 +22,7 @@ def parse_address_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return found.where((F.col("local_ip") != "") & (F.col("if_name") != "")).drop(value)
 
 
-def read_policy_log(spark: SparkSession, root: str | list[str], name: str = POLICY_LOG_NAME,
+def read_policy_log(spark: SparkSession, root: Root, name: str = POLICY_LOG_NAME,
                     glob: str | None = None) -> DataFrame:
     lines = read_result_lines(spark, root, name, glob or f"{name}-*.txt*")
     return parse_address_lines(lines).drop("path", "run_dtm")
@@ -56,7 +56,7 @@ def parse_metadata_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumns(columns).drop("_record")
 
 
-def read_metadata_log(spark: SparkSession, root: str | list[str], name: str = METADATA_NAME,
+def read_metadata_log(spark: SparkSession, root: Root, name: str = METADATA_NAME,
                       glob: str | None = None) -> DataFrame:
     lines = read_result_lines(spark, root, name, glob or f"{name}-*.txt*")
     return parse_metadata_lines(lines).drop("path", "run_dtm")

@@ -355,3 +355,77 @@ def test_raw_campaign_is_written_by_many_tasks_under_the_names_of_its_files(spar
         "t-tcp-ping-20240122-120000.txt"}
     assert probes.read_pings(spark, [str(root / f"{n}") for n in range(4)]).count() == 32
     assert logs.read_metadata_log(spark, [str(root / f"{n}") for n in range(4)]).count() == 16
+
+
+def test_a_load_takes_more_folders_than_are_listed_at_a_time(spark, raw, rows, monkeypatch):
+    for n in range(7010, 7015):
+        put(raw / "campaign" / f"{n}" / "sub" / "tcp-ping-20240105-101430.txt", PING + " \t \n\n")
+    put(raw / "config.json", '{"id": 900, "schedules": {%s}}' % ", ".join(
+        f'"{n}": {{"nodeid": {n % 9}}}' for n in (7001, 7002, 7999, *range(7010, 7015))))
+    config, root = str(raw / "config.json"), str(raw / "campaign")
+    whole = {name: rows(frame) for name, frame in campaign_tables(spark, config, root).items()}
+    # Neither the folders listed at a time nor a limit on schedules cuts a load.
+    monkeypatch.setattr(files, "FOLDERS_AT_ONCE", 2, raising=False)
+    monkeypatch.setattr(files, "MOST_SCHEDULES", 2, raising=False)
+    kept = (spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get(files.LISTING))
+    stored = load_campaign(spark, config, root, scratch_dir(spark, "tables"))
+    assert [len(whole[name]) for name in whole] == [15, 2, 6]
+    assert {name: rows(stored.table(spark, name)) for name in whole} == whole
+    assert kept == (spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get(files.LISTING))
+    assert not list(Path(scratch_dir(spark, "x")).parent.glob("result-lines-*"))
+
+
+def test_a_load_reads_each_result_file_once(spark, raw, monkeypatch):
+    opened = spark.sparkContext.accumulator(0)
+    text_lines = files._text_lines
+
+    def counted(*more):
+        def count(batches):
+            for batch in batches:
+                opened.add(len(set(batch.column("path").to_pylist())))
+                yield batch
+        lines = text_lines(*more)
+        return lines.mapInArrow(count, lines.schema)
+
+    monkeypatch.setattr(files, "_text_lines", counted)
+    load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), scratch_dir(spark, "tables"))
+    assert opened.value == 10                                # of 11 in the listed folders one is of another tool's name
+
+
+def test_a_bad_time_in_a_log_name_does_not_fail_a_load(spark, raw):
+    (raw / "campaign" / "7002" / "metadata-20240105-101000.txt").rename(
+        raw / "campaign" / "7002" / "metadata-20241305-101000.txt")
+    stored = load_campaign(spark, str(raw / "config.json"), str(raw / "campaign"), scratch_dir(spark, "tables"))
+    assert stored.table(spark, "metadata").count() == 6
+
+
+def test_small_files_are_read_many_in_a_task(spark, tmp_path):
+    for n in range(300):
+        put(tmp_path / f"{n}" / "metadata-20240101-000000.txt", "{}\n")
+    folders = [str(tmp_path / f"{n}") for n in range(300)]
+
+    def tasks():
+        return files.read_result_lines(spark, folders, "metadata", "metadata-*.txt*").rdd.getNumPartitions()
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        alone = tasks()
+        with files.small_files(spark):
+            assert tasks() <= spark.sparkContext.defaultParallelism + 1 < alone
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_raw_campaign_has_each_line_once_in_files_of_the_probes_names(spark, tmp_path):
+    rows = [(n, datetime(2024, 1, 1 + n % 28), n % 40, ("view", "click", "error")[n % 3], 1.0 * n, '{"k": %d}' % n) for n in range(2000)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+                          ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    root = tmp_path / "raw"
+    queries.write_raw_campaign(spark, str(tmp_path), root.as_uri())
+    found = [p for p in root.glob("[0-9]*/*")]
+    pings = {(str(n % 40), f"{'' if n % 2 else 't-'}tcp-ping-{'20240108' if n % 28 < 15 else '20240122'}-120000.txt")
+             for n in range(2000) if n % 3 < 2}
+    logs_of = {(str(n), f"{name}-20240101-000000.txt") for n in range(40) for name in ("metadata", "policyd")}
+    assert sorted((p.parent.name, p.name) for p in found) == sorted(pings | logs_of)
+    lines = [line for p in found if "tcp-ping" in p.name for line in p.read_text().splitlines()]
+    assert sorted(int(line.split("\t")[1]) for line in lines) == [n for n in range(2000) if n % 3 < 2]
