@@ -49,6 +49,13 @@ def shielded(states: DataFrame, personal: str = "drop") -> DataFrame:
     return states.withColumns({c: F.lit(None).cast("string") for c in schemas.PERSONAL_COLUMNS})
 
 
+def _kept(mapping: DataFrame, path: str) -> DataFrame:
+    """A mapping written once, as each table looks it up in two places. The shuffle lets a key with two values fail by
+    itself; where two places come upon it at once, Spark reports neither."""
+    mapping.repartition("sched_id").write.parquet(path)
+    return mapping.sparkSession.read.schema(mapping.schema).parquet(path)
+
+
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
@@ -63,11 +70,13 @@ def campaign_tables(spark: SparkSession, config: str, root: str, personal: str =
     """
     schedules = read_experiment_configs(spark, config)
     folders = files.folders_of(spark, root, schedules)
-    found = folders if scratch is None else files.store_result_lines(spark, folders, scratch, RESULT_FILES)
+    found = folders if scratch is None else files.store_result_lines(spark, folders, f"{scratch}/lines", RESULT_FILES)
     spans = with_span(read_metadata_log(spark, found).join(schedules, "sched_id"))
     states = keep(shielded(spans, personal).select(*schemas.METADATA.names), "metadata")
     listed = read_policy_log(spark, found).join(schedules.select("sched_id").distinct(), "sched_id", "left_semi")
     addresses, operators = address_map(listed), operator_map(states)
+    if scratch is not None:
+        addresses, operators = _kept(addresses, f"{scratch}/addresses"), _kept(operators, f"{scratch}/operators")
 
     def facts(raw: DataFrame, name: str, columns: list[str]) -> DataFrame:
         named = with_interface(raw.join(schedules, "sched_id"), addresses, operators)
